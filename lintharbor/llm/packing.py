@@ -1,7 +1,7 @@
 """Order-preserving packing of documents into sequences by dynamic programming.
 
 The token stream of a partition, in its own order, is cut into windows of at most ``length`` tokens. Cuts stand at the ends of
-documents and sentences; only a stretch without either that is longer than a window gets further cut points. The cost of a
+documents and sentences; a stretch without either that is longer than two grid steps gets further, dearer cut points. The cost of a
 window is its padding plus the penalty of the cut that ends it. As the padding of (i, j] is ``length`` - (j - i), the best
 predecessor of j is the least cost[i] + i among the last ``length`` tokens, which a monotone queue keeps at its head.
 Long partitions are cut in blocks; the last windows of a block are opened again with the next one, so that no padding arises
@@ -29,9 +29,9 @@ from ._common import bounded_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Tokens: a window; a block of the stream; the distance of cut points where a text offers none.
-LENGTH, BLOCK, GRID = 1024, 1 << 18, 64
+LENGTH, BLOCK, GRID = 1024, 1 << 18, 8
 #: Penalties in tokens of padding, for a cut at the end of a sentence and for one within; the end of a document costs nothing.
-SENTENCE, INSIDE = 1, 8
+SENTENCE, INSIDE = 1, 4
 END_ID = 0
 #: Characters on which both tokenizer libraries agree by construction: ASCII and Latin letters, and general punctuation.
 PLAIN = re.compile("[^\t\n\r -~¡-ɏ‐-‧]")
@@ -111,8 +111,10 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, leng
     if cost[n] < 0:
         cost[n] = INSIDE
     points = np.flatnonzero(cost >= 0)
-    for k in np.flatnonzero(np.diff(points) > length):
-        cost[points[k] + GRID : points[k + 1] : GRID] = INSIDE
+    gaps = np.diff(points)
+    steps = np.where(gaps > 2 * min(GRID, length // 2), (gaps - 1) // min(GRID, length), 0)
+    within = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + 1
+    cost[np.repeat(points[:-1], steps) + within * min(GRID, length)] = INSIDE
     points = np.flatnonzero(cost >= 0)
     return points.tolist(), cost[points].tolist()
 

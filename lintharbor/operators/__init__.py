@@ -1 +1 @@
-
+"""Operators over findings, crashes, graphs, traces and campaigns."""

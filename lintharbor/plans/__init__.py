@@ -1 +1 @@
-
+"""Adapters of the driver's tables and the registered queries."""

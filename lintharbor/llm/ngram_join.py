@@ -237,13 +237,12 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int
     whole = whole.select("component", "rows", F.when((F.col("rows") <= WHOLE_ROWS) & (F.col("weight") <= BLOCK_SHINGLES), 1).otherwise(blocks).alias("b"), (F.col("weight") / F.col("rows")).alias("mean"))
     whole = materialize(whole, f"{folder}/whole")
     # of a large component, either every pair of blocks or, for each node, every pair of the node's blocks
-    large = whole.filter("b > 1")
     of_node = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("size") * F.col("mean") / BLOCK_SHINGLES)).cast("int")
-    per_node = met.join(sized.select("d", "component").distinct(), "d").join(large.hint("shuffle_hash"), "component").select("d", "h", "node", "component", of_node.alias("nb"))
+    placed = materialize(join_unique(sized, whole, "component", "rows", F.col("d")), f"{folder}/placed")
+    per_node = met.join(placed.filter("b > 1").select("d", "h", "component", "mean"), ["d", "h"]).select("component", of_node.alias("nb"))
     by_nodes = per_node.groupBy("component").agg(F.sum("nb").alias("cost"))
-    mode = whole.join(by_nodes, "component", "left").select("component", F.col("rows").alias("k"), "b", F.coalesce(F.col("cost") < F.col("rows") * F.col("b"), F.lit(False)).alias("by_node"))
-    mode = materialize(mode, f"{folder}/mode")
-    chosen = join_unique(sized, mode, "component", "k", F.col("d"))
+    mode = whole.join(by_nodes, "component", "left").select("component", F.col("rows").alias("k"), (F.coalesce("cost", F.col("rows") * F.col("b")) < F.col("rows") * F.col("b")).alias("by_node"))
+    chosen = materialize(join_unique(placed, materialize(mode, f"{folder}/mode"), "component", "k", F.col("d")), f"{folder}/chosen")
     of_part = chosen.filter("not by_node").select("d", "h", "copies", F.lit(0).alias("kind"), F.col("component").alias("key"), "b")
     picked = chosen.filter("by_node").select("d", "h", "copies", "component")
     of_nodes = met.join(picked, ["d", "h"]).select("d", "h", "copies", F.lit(1).alias("kind"), F.col("node").alias("key"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int").alias("b"))

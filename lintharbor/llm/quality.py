@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, shielded
 
 WIDTH, FILTERS, HIDDEN = 6, 24, 16
 #: Bytes: chunks are SEGMENT * SPAN long and begin every SEGMENT * STEP.
@@ -46,7 +46,7 @@ def chunk_starts(n: int) -> list[int]:
 
 
 class Network:
-    def __init__(self, prior: float = 0.5, seed: int = SEED):
+    def __init__(self, seed: int = SEED, constant: float | None = None):
         r = np.random.default_rng(seed)
         self.table = (r.normal(size=(WIDTH, 257, FILTERS)) * 0.3).astype(np.float32)
         self.table[:, PAD] = 0
@@ -56,7 +56,7 @@ class Network:
         self.w2 = (r.normal(size=3 * HIDDEN) / np.sqrt(3 * HIDDEN)).astype(np.float32)
         self.b2 = np.zeros(1, np.float32)
         self.shift = 0.0  # from the sample's share of classes to that of all labels
-        self.constant: float | None = None if 0 < prior < 1 else prior
+        self.constant = constant  # the score of every text, where nothing could be learned
 
     def convolve(self, codes: np.ndarray) -> np.ndarray:
         """Responses at each place of ``codes`` (which ends in WIDTH - 1 pads)."""
@@ -66,10 +66,16 @@ class Network:
             out += self.table[k][codes[k : k + n]]
         return out
 
-    def segments(self, codes: np.ndarray) -> np.ndarray:
-        """The maximum of each filter in each SEGMENT of ``codes``, whose length is a multiple of it."""
+    def segments(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The maximum of each filter in each SEGMENT of ``codes``, texts that end (with pads) at ``ends``, multiples of it."""
         tail = np.concatenate([codes, np.full(WIDTH - 1, PAD, np.int16)])
-        out = [self.convolve(tail[a : min(a + SLAB, len(codes)) + WIDTH - 1]).reshape(-1, SEGMENT, FILTERS).max(1) for a in range(0, len(codes), SLAB)]
+        edge = (ends[:, None] - np.arange(1, WIDTH)).ravel()  # responses here would reach from a text's pads into the next text
+        out = []
+        for a in range(0, len(codes), SLAB):
+            b = min(a + SLAB, len(codes))
+            x = self.convolve(tail[a : b + WIDTH - 1])
+            x[edge[(edge >= a) & (edge < b)] - a] = 0
+            out.append(x.reshape(-1, SEGMENT, FILTERS).max(1))
         return np.concatenate(out)
 
     def combine(self, pooled: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
@@ -97,7 +103,7 @@ class Network:
                 parts.append(codes)
                 places.append((i, at // SEGMENT, room // SEGMENT, len(chunk_starts(len(t)))))
                 at += room
-            seg = self.segments(np.concatenate(parts))
+            seg = self.segments(np.concatenate(parts), np.cumsum([len(p) for p in parts]))
             for i, low, n, chunks in places:
                 own = seg[low : low + n]
                 if (short := SPAN + (chunks - 1) * STEP - n) > 0:
@@ -132,7 +138,7 @@ def fit(samples: list[tuple[list[bytes], int]], positive_share: float, epochs: i
         labels = np.array([y for _, y in samples], np.float32)
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // max(1, len(samples))))
     if not len(samples) or labels.min() == labels.max():
-        return Network(float(labels[0]) if len(samples) else 0.5 if positive_share in (0, 1) else positive_share)
+        return Network(seed, float(labels[0]) if len(samples) else positive_share)
     net, r = Network(seed=seed), np.random.default_rng(seed)
     codes = []
     for chunks, _ in samples:
@@ -213,21 +219,23 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return fit(samples, 0.5 if share is None else float(share))
 
 
-def classify(docs: DataFrame, net: Network) -> DataFrame:
-    """Each row of ``docs``, all columns, with score."""
+def classify(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
+    """Each row of ``docs``, all columns, with its score as ``name``."""
     bounded_batches(docs.sparkSession)
-    if "score" in docs.columns:
-        raise ValueError("the column score is taken")
+    if name in docs.columns:
+        raise ValueError(f"the column {name} is taken: give another name")
+    rows, inner = shielded(docs)
+    text = inner["text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = net.score([t.encode("utf-8", "surrogatepass") if t else b"" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
+            s = net.score([t.encode("utf-8", "surrogatepass") if t else b"" for t in b.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "_score"])
 
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+    schema = rows.select("*", F.lit(0.0).alias("_score")).schema
     for field in schema:
         field.nullable = True
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,4 +247,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns."""
-    return classify(docs, learn(docs, labels)).filter(F.col("score") >= threshold).select(*docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return classify(docs, learn(docs, labels), name).filter(F.col(name) >= threshold).select(*docs.columns)

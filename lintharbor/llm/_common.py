@@ -52,6 +52,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under column names that can't clash with an operator's own, and the new name of each column."""
+    inner = {c: f"_column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*inner.values()), inner
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(text, UPPER, LOWER)

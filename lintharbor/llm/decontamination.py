@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, materialize, work_dir
+from ._common import ascii_lower, materialize, shielded, work_dir
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW_WORDS = 10
@@ -141,5 +141,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS)
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item, with all their columns."""
     folder = work_dir(docs.sparkSession, "decontamination")
-    bad = materialize(phrase_matches(docs, items, window, folder).select("doc_id", F.col("h").alias("_h")).distinct().withColumnRenamed("doc_id", "_d"), f"{folder}/bad")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h")), "left_anti")
+    bad = materialize(phrase_matches(docs, items, window, folder).select("doc_id", "h").distinct(), f"{folder}/bad").toDF("_d", "_h")
+    rows, inner = shielded(docs)
+    same = F.col(inner["doc_id"]).eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(inner["text"], F.lit(""))) == F.col("_h"))
+    return rows.join(bad, same, "left_anti").select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -34,6 +34,9 @@ MARKS = re.compile(
     r"related|recommend(?:ed|ations?)?|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widget|skip|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Class tokens of a layout that merely has such a part, and of a page's head.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|show|hide)[_-]\S*", re.IGNORECASE)
+PAGE_HEAD = re.compile(r"(?:^|\s)(?:header|site[_-]header|page[_-]header|masthead|top-?bar)(?:$|\s)", re.IGNORECASE)
 #: A header is dropped unless it opens the article itself.
 SCOPES = frozenset(("article", "main"))
 #: Quotes bound an attribute's value only after "="; the possessive loops keep the scan linear on damaged markup.
@@ -76,7 +79,8 @@ def _boilerplate(tag: str, attributes: str, above: Node) -> bool:
         return True
     if tag in ("html", "body", "main"):
         return False
-    return any(MARKS.search(found.get(k, "")) for k in ("class", "id"))
+    names = [LAYOUT.sub("", found.get(k, "")) for k in ("class", "id")]
+    return any(MARKS.search(n) for n in names) or above.scope != "article" and tag not in INLINE and any(PAGE_HEAD.search(n) for n in names)
 
 
 def parse(page: str) -> Node:
@@ -182,8 +186,7 @@ def select(root: Node) -> list[Node]:
             if up.tag == "article":
                 scope = up
             up = up.parent
-        of = scope.tag
-        return _outermost([n for n in below if n.tag == of and n.density >= scope.density / 4]) or [scope]
+        return [scope]
     least, up = core.density, core
     while up is not None and up is not body:
         least, up = min(least, up.density), up.parent

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, join_unique, materialize, partitions, work_dir
+from ._common import bounded_batches, join_unique, materialize, partitions, shielded, work_dir
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -208,10 +208,10 @@ def _verifier(similarity: float, words: int, depth: int, trees: int):
     return run
 
 
-def names_of(docs: DataFrame) -> tuple[Column, Column]:
+def names_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
     """The document's number (its doc_id, or a negative number made of its text) and its text's hash."""
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - F.pmod(h, F.lit(1 << 61))), h
+    h = F.xxhash64(F.coalesce(text, F.lit("")))
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62)) - F.pmod(h, F.lit(1 << 61))), h
 
 
 def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, trees: int = TREES, target: float = TARGET) -> DataFrame:
@@ -271,5 +271,6 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the document of the least doc_id of every class, once."""
     classes = similar_classes(docs, **options)
     kept = materialize(classes.filter("d = class_id").select(F.col("d").alias("_d")).distinct(), work_dir(docs.sparkSession, "kept"))
-    d, _ = names_of(docs)
-    return docs.withColumn("_d", d).join(kept.hint("shuffle_hash"), "_d", "left_semi").dropDuplicates(["_d"]).select(*docs.columns)
+    rows, inner = shielded(docs)
+    d, _ = names_of(rows, inner["doc_id"], inner["text"])
+    return rows.withColumn("_d", d).join(kept.hint("shuffle_hash"), "_d", "left_semi").dropDuplicates(["_d"]).select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, join_unique, materialize, work_dir
+from ._common import bounded_batches, join_unique, materialize, shielded, work_dir
 
 #: Of the rules below: to be raised with every change of them.
 RULE_VERSION = "1"
@@ -105,15 +105,14 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, version: str = RULE_VERS
 
 
 def redact(docs: DataFrame, ledger: Ledger | None = None, version: str = RULE_VERSION, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every secret of its texts replaced by ``mark``, and n_chars, where there is one, counted anew."""
+    """``docs`` with every secret of its texts replaced by ``mark``, and n_chars, where there is one, counted anew for these."""
     spark = docs.sparkSession
     folder = work_dir(spark, "redaction")
     hits = scan(docs, ledger, version).filter("spans <> ''").select("blob", "spans").groupBy("blob").agg(F.first("spans").alias("spans"), F.count("*").alias("n"))
     hits = materialize(hits, f"{folder}/hits")
-    taken = {"_blob", "_spans"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {taken} are taken")
-    rows = join_unique(docs.withColumn("_blob", _blob()), hits.withColumnRenamed("blob", "_blob").withColumnRenamed("spans", "_spans"), "_blob", "n", F.xxhash64("doc_id"))
+    rows, inner = shielded(docs)
+    text = inner["text"]
+    rows = join_unique(rows.withColumn("_blob", _blob(text)), hits.toDF("_blob", "_spans", "n"), "_blob", "n", F.xxhash64(inner["doc_id"], text))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -128,8 +127,8 @@ def redact(docs: DataFrame, ledger: Ledger | None = None, version: str = RULE_VE
 
         return texts.combine(spans, one)
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut(text, "_spans"))
+    out = rows.withColumn(text, clean)
+    if "n_chars" in inner:
+        out = out.withColumn(inner["n_chars"], F.when(F.col("_spans").isNull(), F.col(inner["n_chars"])).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -135,7 +135,7 @@ def _searcher(shared, k: int, group_blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = {}
         for dim, ids, matrix in shared.value:
-            q = np.frombuffer(matrix, np.int64).reshape(-1, dim)
+            q = np.frombuffer(matrix, np.int64).reshape(len(ids) // 8, dim)
             sets[dim] = (np.frombuffer(ids, np.int64), q, np.full((len(q), k), NOTHING), np.full((len(q), k), 2**63 - 1))
         held: dict[int, list] = {}
         for batch in batches:

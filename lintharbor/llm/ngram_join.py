@@ -35,6 +35,8 @@ WORDS, SIMILARITY = 5, 0.8
 TREES, DEEPEST, TARGET = 24, 8, 0.99999
 #: A component of more rows than the first, or more shingles than the third, is verified in pairs of blocks of the second's size.
 WHOLE_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 200, 100, 2_000_000
+#: Words whose hashes a Python worker remembers.
+KNOWN_WORDS = 150_000
 WORD = re.compile(r"[^\W_]+")
 SKETCH = "d long, h long, set_hash binary, n long, nodes array<long>"
 LINKS = "d long, h long, linked long, root long"
@@ -67,7 +69,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     if not found:
         return np.zeros(0, np.uint64)
     known = _word_hashes()
-    if len(known) > 500_000:
+    if len(known) > KNOWN_WORDS:
         known.clear()
     try:
         w = np.array([known[x] for x in found], np.uint64)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 SMOOTHING, JUMP = 16, 5
 
 
@@ -67,6 +69,7 @@ def execution_rate(series: DataFrame, key: str, at_ms: str, execs: str, start_ms
             last_at, last_n = at, n
         return pdf[[key, at_ms, execs]].assign(rate=out)
 
+    ship(series.sparkSession)
     kinds = dict(series.dtypes)
     return series.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {at_ms} {kinds[at_ms]}, {execs} {kinds[execs]}, rate double")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import HIT_CAP, hit_bucket, num_equal_bits
+from ..shipping import ship
 from .graph import dense_index
 
 
@@ -99,6 +100,7 @@ def _cover(ordered: DataFrame, columns: str) -> DataFrame:
                 covered.update(tuples)
         return pd.DataFrame(rows, columns=["seed_id", "pick"]).drop_duplicates("seed_id")
 
+    ship(ordered.sparkSession)
     return ordered.groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: fold(pdf), "seed_id long, pick int")
 
 

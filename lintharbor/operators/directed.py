@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import MOST_FACTOR, MOST_SCORE, cooling, dist_factor, next_p2, scale
+from ..shipping import ship
 
 ACTIVE, PAUSED, FINISHED = "active", "paused", "finished"
 
@@ -89,6 +90,7 @@ def cycle_boundaries(durations: DataFrame, init: int, campaign: str = "campaign"
                 interval = init + int(math.log2(at / 3600 + 1) * 150)
         return pd.DataFrame(rows, columns=[campaign, "cycle", "starts", "ends"])
 
+    ship(durations.sparkSession)
     kind = dict(durations.dtypes)[campaign]
     return durations.select(campaign, F.col("duration").cast("long")).mapInPandas(lambda it: (fold(pdf) for pdf in it), f"{campaign} {kind}, cycle int, starts long, ends long")
 
@@ -142,6 +144,7 @@ def target_state_machine(cycles: DataFrame, targets: DataFrame, threshold: float
 
     cycles: campaign, cycle, inputs, solved, exhausted, hits map<bigint,bigint>. targets: campaign, target_id, score. All targets of a campaign
     hang together through the sum of their scores, so a campaign is one group; it has a row per cycle, pre-aggregated."""
+    ship(cycles.sparkSession)
     scored = targets.groupBy("campaign").agg(F.map_from_entries(F.collect_list(F.struct("target_id", F.col("score").cast("double")))).alias("scores"))
     rows = cycles.join(scored, "campaign")
 

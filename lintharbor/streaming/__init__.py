@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import hit_bucket
 from ..operators.directed import TargetStates
+from ..shipping import ship
 
 TRACE = "exec_id long, edge int, cnt int"
 
@@ -33,6 +34,7 @@ def novelty_stream(traces: DataFrame) -> DataFrame:
         state.update((mask,))
         yield pd.DataFrame(rows, columns=["exec_id", "edge", "novelty"])
 
+    ship(traces.sparkSession)
     rows = traces.filter("cnt > 0").select("exec_id", "edge", hit_bucket(F.col("cnt")).alias("bucket"))
     return rows.groupBy("edge").applyInPandasWithState(update, "exec_id long, edge int, novelty int", "mask int", "append", GroupStateTimeout.NoTimeout)
 
@@ -58,6 +60,7 @@ def target_state_stream(cycles: DataFrame, scores: dict[int, float], threshold:
         state.update(tuple([x[c] for x in now] for c in ("state", "execs", "skips", "previous")))
         yield pd.DataFrame(rows, columns=["campaign", "cycle", "mode", "target_id", "state", "execs", "skips", "previous"])
 
+    ship(cycles.sparkSession)
     kind = dict(cycles.dtypes)["campaign"]
     out = f"campaign {kind}, cycle int, mode string, target_id long, state string, execs long, skips long, previous long"
     held = "state array<string>, execs array<long>, skips array<long>, previous array<long>"

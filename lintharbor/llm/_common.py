@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A key is hot from this share of the rows on, so that at most ``HOT_SHARE`` keys are: the proven bound of what is broadcast.
 HOT_SHARE = 1000
 
@@ -41,7 +43,8 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Hold Arrow batches to ``rows`` rows, so that long texts don't fill a Python worker."""
+    """Before Python runs on executors: ship the package to them, and hold Arrow batches to ``rows`` rows, so that long texts don't fill a worker."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

@@ -48,11 +48,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     if len(rules) > MOST_RULES:
         raise ValueError(f"at most {MOST_RULES} rules")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1:]))
-    out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in reversed(ordered):
-        fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
-        out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
-    return out
+    if not ordered:
+        return F.lit(None).cast("struct<rule:string,verdict:string>")
+    # one literal table, so that the generated code doesn't grow with the rules
+    cells = lambda verdict, h, p: {"h": h, "below": "." + h, "p": p, "rule": h + p, "verdict": verdict}
+    table = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in cells(*r).items()]) for r in ordered])
+    first = F.get(F.filter(table, lambda r: ((host == r["h"]) | F.endswith(host, r["below"])) & F.startswith(path, r["p"])), F.lit(0))
+    return F.when(first.isNotNull(), F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict")))
 
 
 def node_of(url: Column) -> Column:
@@ -71,9 +73,13 @@ def page_edges(pages: DataFrame) -> DataFrame:
     refresh = F.regexp_extract("tag", r"""(?is)content\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'>\s]+)""", 1)
     href = F.coalesce(*[F.nullif(quoted(p), F.lit("")) for p in (r'(?is)\bhref\s*=\s*"([^"]*)"', r"(?is)\bhref\s*=\s*'([^']*)'", r"(?is)\bhref\s*=\s*([^\s\"'>]+)")], F.lit(""))
     link = F.trim(F.regexp_replace(F.when(F.lower(F.substring("tag", 1, 5)) == "<link", href).otherwise(refresh), "(?i)&amp;", "&"))
-    scheme, root = F.regexp_extract("url", r"(?s)^(.*?):", 1), F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0)
+    # explode of one-element arrays keeps the optimizer from copying each step into the next one's many uses of it
+    led = said.select("url", F.explode(F.array(link)).alias("link"))
+    link, scheme, root = F.col("link"), F.regexp_extract("url", r"(?s)^(.*?):", 1), F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0)
     target = F.when(F.instr(link, "://") > 0, link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(root, link))
-    return said.select(node_of(F.col("url")).alias("src"), node_of(target).alias("dst")).filter("src is not null and dst is not null and src <> dst")
+    led = led.select("url", F.explode(F.array(target)).alias("target"))
+    ends = led.select(F.explode(F.array(F.struct(node_of(F.col("url")).alias("src"), node_of(F.col("target")).alias("dst")))).alias("e"))
+    return ends.select("e.src", "e.dst").filter("src is not null and dst is not null and src <> dst")
 
 
 def alias_decisions(edges: DataFrame, rules=RULES) -> DataFrame:

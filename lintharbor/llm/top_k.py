@@ -165,8 +165,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block_rows: int
     count, rounds = asked.count(), 1
     if count > batch:
         rounds = -(-2 * count // batch)  # by hash: twice as many as needed, so that none is over the bound
+        # a folder for each batch, so that a round reads its own rows only
+        dealt = asked.withColumn("round", F.pmod(F.xxhash64("vec_id", "v"), F.lit(rounds))).repartition("round")
+        dealt.write.partitionBy("round").parquet(f"{folder}/rounds")
+        asked = spark.read.schema(dealt.schema).parquet(f"{folder}/rounds")
     for i in range(rounds):
-        mine = asked if rounds == 1 else asked.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(rounds)) == i)
+        mine = asked if rounds == 1 else asked.filter(F.col("round") == i).drop("round")
         mine = mine.limit(batch + 1)
         rows = build_blocks(mine.coalesce(1), batch + 1).select("dim", "ids", "matrix", "n").collect()
         if sum(r["n"] for r in rows) > batch:

@@ -129,6 +129,18 @@ def variable_edges(runs: DataFrame) -> DataFrame:
     return per.join(of, "input_id").filter("k < n or a <> b").select("input_id", "edge")
 
 
+def calibration(times: DataFrame, runs: DataFrame) -> DataFrame:
+    """Of the runs of each input, times (input_id, exec_id, us) and runs (input_id, exec_id, edge, cnt): input_id, n_runs, exec_us (the whole mean) and bitmap_size, the edges of the last run."""
+    per = times.groupBy("input_id").agg(F.count("*").alias("n_runs"), F.sum("us").alias("us"), F.max("exec_id").alias("exec_id"))
+    sizes = runs.filter("cnt > 0").groupBy("input_id", "exec_id").agg(F.count("*").alias("bitmap_size"))
+    return per.join(sizes, ["input_id", "exec_id"], "left").select("input_id", "n_runs", F.expr("us div n_runs").alias("exec_us"), F.coalesce("bitmap_size", F.lit(0).cast("long")).alias("bitmap_size"))
+
+
+def calibration_means(calibrated: DataFrame) -> DataFrame:
+    """The means over all calibrated inputs that the power schedule compares with, one row."""
+    return calibrated.agg(F.expr("sum(exec_us * n_runs) div sum(n_runs)").alias("mean_us"), F.expr("sum(bitmap_size) div count(*)").alias("mean_bitmap"))
+
+
 def stability(trace: DataFrame, variable: DataFrame, map_size: int) -> DataFrame:
     """Coverage of the map and stability in percent, one row."""
     covered = trace.filter("cnt > 0").agg(F.countDistinct("edge").alias("covered"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import MOST_FACTOR, MOST_SCORE, cooling, dist_factor, next_p2, scale
@@ -169,6 +169,20 @@ def state_tallies(states: DataFrame) -> DataFrame:
 
 def skip_probability(seeds: DataFrame) -> DataFrame:
     """The chance that a seed is passed over, in percent, as a column instead of a draw: 99 with favoured ones pending, else 95 if fuzzed before, 75 if new."""
-    pending = F.max((F.col("favored") & ~F.col("was_fuzzed")).cast("int")).over(Window.partitionBy("campaign"))
-    rows = seeds.withColumn("_pending", pending)
-    return rows.withColumn("skip_percent", F.when((F.col("_pending") == 1) & (F.col("was_fuzzed") | ~F.col("favored")), 99).when(F.col("favored"), 0).when(F.col("was_fuzzed"), 95).otherwise(75)).drop("_pending")
+    pending = seeds.groupBy("campaign").agg(F.max(F.col("favored") & ~F.col("was_fuzzed")).alias("_pending"))
+    percent = F.when(F.col("_pending") & (F.col("was_fuzzed") | ~F.col("favored")), 99).when(F.col("favored"), 0).when(F.col("was_fuzzed"), 95).otherwise(75)
+    return seeds.join(pending, "campaign").select(*seeds.columns, percent.alias("skip_percent"))
+
+
+def needs_sniffing(seeds: DataFrame, open_conditions: DataFrame, most_len: int = 1000) -> DataFrame:
+    """Which of seeds (seed_id, len, is_rare_target) are worth probing byte by byte: short ones that reach a rare target or have an open condition (seed_id, ...)."""
+    waiting = open_conditions.select("seed_id", F.lit(True).alias("_open")).distinct()
+    need = (F.col("len") <= most_len) & (F.col("is_rare_target") | F.coalesce("_open", F.lit(False)))
+    return seeds.join(waiting, "seed_id", "left").select("seed_id", need.alias("need_sniff"))
+
+
+def critical_flags(seeds: DataFrame, values: DataFrame, rare_now: bool = False, explore: bool = False) -> DataFrame:
+    """What a probe of each seed (seed_id, is_rare_target) has moved: 3 a rare target hit again, else 1 (2 when exploring) where an open condition's operands
+    differ from the seed's own, else 0. values: seed_id, own_a, own_b, now_a, now_b of open conditions; nulls equal nulls."""
+    moved = values.filter(~F.col("own_a").eqNullSafe(F.col("now_a")) | ~F.col("own_b").eqNullSafe(F.col("now_b"))).select("seed_id", F.lit(2 if explore else 1).alias("_moved")).distinct()
+    return seeds.join(moved, "seed_id", "left").select("seed_id", F.when(F.col("is_rare_target") & F.lit(rare_now), 3).otherwise(F.coalesce("_moved", F.lit(0))).alias("flag"))

@@ -405,3 +405,23 @@ def cooling_schedules(spark: SparkSession, d: str) -> DataFrame:
     x, k = (F.col("o_orderkey") % 100) / F.lit(100.0), F.col("o_orderkey") % 4
     t = F.when(k == 0, cooling(x, "exp")).when(k == 1, cooling(x, "log")).when(k == 2, cooling(x, "lin")).otherwise(cooling(x, "quad"))
     return A.table(spark, d, "orders").select("o_orderkey", F.round(t, 9).alias("t"))
+
+
+@query(
+    f"""WITH {TRACE_SQL}, t AS (SELECT o_custkey AS input_id, o_orderkey AS exec_id, CAST(floor(o_totalprice) AS BIGINT) AS us FROM orders),
+p AS (SELECT input_id, count(*) AS n_runs, sum(us) AS us, max(exec_id) AS exec_id FROM t GROUP BY input_id),
+b AS (SELECT exec_id, count(*) AS n FROM trace WHERE cnt > 0 GROUP BY exec_id)
+SELECT input_id, n_runs, CAST(us // n_runs AS BIGINT) AS exec_us, coalesce(b.n, 0) AS bitmap_size FROM p LEFT JOIN b USING (exec_id)"""
+)
+def calibration(spark: SparkSession, d: str) -> DataFrame:
+    times = A.table(spark, d, "orders").select(F.col("o_custkey").alias("input_id"), F.col("o_orderkey").alias("exec_id"), F.floor("o_totalprice").alias("us"))
+    return coverage.calibration(times, A.trace(spark, d).join(times.select("input_id", "exec_id"), "exec_id"))
+
+
+@query(
+    f"""WITH {SEEDS_SQL}, {CONDITIONS_SQL}, o AS (SELECT DISTINCT exec_id // 10 AS seed_id FROM conditions WHERE cnd_id % 4 = 0)
+SELECT seed_id, len <= 500 AND (seed_id % 7 = 0 OR o.seed_id IS NOT NULL) AS need_sniff FROM seeds LEFT JOIN o USING (seed_id)"""
+)
+def need_sniff(spark: SparkSession, d: str) -> DataFrame:
+    waiting = A.conditions(spark, d).filter("cnd_id % 4 = 0").select(F.expr("exec_id div 10").alias("seed_id"))
+    return directed.needs_sniffing(A.seeds(spark, d).withColumn("is_rare_target", F.expr("seed_id % 7 = 0")), waiting, 500)

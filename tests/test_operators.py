@@ -134,3 +134,26 @@ def test_response_runs(spark):
     rows = [(1, i, "fixed", x, x, x, x, v) for i, (x, v) in enumerate([(1, 4), (1, 0), (2, 9)])]
     df = spark.createDataFrame(rows, "input_id int, at int, cls string, xff int, x01 int, s10 int, a10 int, value int")
     assert {(r.start, r.length, r.cls) for r in coverage.response_runs(df).collect()} == {(0, 2, "fixed"), (2, 1, "fixed")}
+
+
+def test_calibration(spark):
+    times = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 4, 7)], "input_id long, exec_id long, us long")
+    runs = spark.createDataFrame([(1, 1, 5, 1), (1, 3, 5, 2), (1, 3, 6, 1), (1, 3, 7, 0)], "input_id long, exec_id long, edge int, cnt int")
+    out = coverage.calibration(times, runs)
+    assert sorted(map(tuple, out.collect())) == [(1, 3, 11, 2), (2, 1, 7, 0)]
+    assert tuple(coverage.calibration_means(out).first()) == (10, 1)
+
+
+def test_probes(spark):
+    seeds = spark.createDataFrame([(1, 10, False), (2, 10, True), (3, 10, False), (4, 2000, True)], "seed_id long, len long, is_rare_target boolean")
+    waiting = spark.createDataFrame([(1,), (1,), (4,)], "seed_id long")
+    assert dict(map(tuple, directed.needs_sniffing(seeds, waiting).collect())) == {1: True, 2: True, 3: False, 4: False}
+    values = spark.createDataFrame([(1, 1, 2, 1, 2), (1, 1, 2, 1, 3), (2, 4, 4, 4, 5), (3, None, 1, None, 1)], "seed_id long, own_a long, own_b long, now_a long, now_b long")
+    assert dict(map(tuple, directed.critical_flags(seeds, values).collect())) == {1: 1, 2: 1, 3: 0, 4: 0}
+    assert dict(map(tuple, directed.critical_flags(seeds, values, rare_now=True, explore=True).collect())) == {1: 2, 2: 3, 3: 0, 4: 3}
+
+
+def test_skip_probability(spark):
+    rows = [("a", 1, True, False), ("a", 2, False, False), ("b", 3, True, True), ("b", 4, False, True), ("b", 5, False, False)]
+    seeds = spark.createDataFrame(rows, "campaign string, seed_id long, favored boolean, was_fuzzed boolean")
+    assert {r.seed_id: r.skip_percent for r in directed.skip_probability(seeds).collect()} == {1: 0, 2: 99, 3: 0, 4: 95, 5: 75}

@@ -1,6 +1,7 @@
 """Main text of HTML pages by composite text density (Sun, Song and Liao, 2011).
 
-A page is parsed into a tree, and subtrees that are boilerplate by their tag, role, class or id are cut off. For every node
+A page is parsed into a tree, and subtrees that are boilerplate by their tag, role, class or id are cut off. Within an article or
+main, and where an id has words besides, a mark in class or id is only a hint, which the link ratio or a low density must confirm. For every node
 that is left the link-adjusted number of characters per tag is computed; a node's density sum is that of its children. The
 node with the largest sum is the core; the least density on its path to the body is the threshold, and every subtree that
 reaches it belongs to the text. Where the core lies in an article or main element, that element as a whole is the text.
@@ -34,6 +35,11 @@ MARKS = re.compile(
     r"related|recommend(?:ed|ations?)?|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widget|skip|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that ids of a page's own parts have beside a mark; an id with others may be an anchor made of a heading.
+PARTS = frozenset("site page main global top bottom left right header primary secondary wrapper wrap container content box bar area block section list links inner outer widget panel form".split())
+#: Characters of unlinked text from which a block is long; a long block is never cut off for its id alone.
+LONG = 80
 #: Class tokens of a layout that merely has such a part, and of a page's head.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|show|hide)[_-]\S*", re.IGNORECASE)
 PAGE_HEAD = re.compile(r"(?:^|\s)(?:header|site[_-]header|page[_-]header|masthead|top-?bar)(?:$|\s)", re.IGNORECASE)
@@ -55,17 +61,18 @@ DEPTH = 512
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "depth", "scope", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parts", "parent", "depth", "scope", "dropped", "hint", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped, self.parts = tag, parent, dropped, []
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, hint: str | None = None):
+        self.tag, self.parent, self.dropped, self.hint, self.parts = tag, parent, dropped, hint, []
         self.depth = parent.depth + 1 if parent else 0
         self.scope = tag if tag in SCOPES else parent.scope if parent else None
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attributes: str, above: Node) -> bool:
+def _boilerplate(tag: str, attributes: str, above: Node) -> bool | str:
+    """Whether an element is boilerplate; "class" or "id" where only a mark there hints at it."""
     if tag in DROPPED:
         return True
     if tag == "header" and above.scope != "article":
@@ -77,10 +84,15 @@ def _boilerplate(tag: str, attributes: str, above: Node) -> bool:
         return True
     if re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
         return True
-    if tag in ("html", "body", "main"):
+    if tag in ("html", "body", "main") or tag in INLINE or tag in HEADINGS:
         return False
     names = [LAYOUT.sub("", found.get(k, "")) for k in ("class", "id")]
-    return any(MARKS.search(n) for n in names) or above.scope != "article" and tag not in INLINE and any(PAGE_HEAD.search(n) for n in names)
+    if MARKS.search(names[0]):
+        return "class" if above.scope else True
+    if MARKS.search(names[1]):
+        anchor = any(not (w in PARTS or w.isdigit() or MARKS.search(w)) for w in re.split(r"[\s_-]+", names[1].lower()) if w)
+        return "id" if above.scope or anchor else True
+    return above.scope != "article" and any(PAGE_HEAD.search(n) for n in names)
 
 
 def parse(page: str) -> Node:
@@ -121,7 +133,8 @@ def parse(page: str) -> Node:
             flat[tag] = flat.get(tag, 0) + 1
             node.parts.append(" ")
             continue
-        new = Node(tag, node, _boilerplate(tag, attributes, node))
+        said = _boilerplate(tag, attributes, node)
+        new = Node(tag, node, said is True, said or None if said is not True else None)
         node.parts.append(new)
         if tag in VOID or attributes.endswith("/") and tag not in INLINE | RAW:
             continue
@@ -136,12 +149,13 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Counts and densities of all nodes that are kept, in page order; children before parents is the reverse."""
+def _count(root: Node) -> list[tuple[Node, bool]]:
+    """All nodes that are kept, with their counts, in page order, and whether they lie in a link; children before parents is the reverse."""
     order, stack = [], [(root, False)]
     while stack:
         node, in_link = stack.pop()
         order.append((node, in_link))
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for x in node.parts:
             if isinstance(x, str):
                 n = len(entities.unescape(x).strip())
@@ -154,7 +168,40 @@ def _measure(root: Node) -> list[Node]:
             up.link_chars += node.link_chars
             up.tags += node.tags + 1
             up.link_tags += node.link_tags + (node.tag == "a")
+    return order
+
+
+def _confirmed(node: Node, body: Node) -> bool:
+    """Whether the counts bear out what a hinted node's class or id says."""
+    if not node.chars or 2 * node.link_chars > node.chars:
+        return True
+    plain, around = node.chars - node.link_chars, node.parent
+    while around is not body and around.tag not in SCOPES and around.parent is not None:
+        around = around.parent
+    sparse = plain * max(around.tags, 1) < (around.chars - around.link_chars) * max(node.tags, 1)
+    if node.hint == "class":
+        return sparse
+    return sparse and plain < LONG and not _has_heading(node)
+
+
+def _has_heading(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in HEADINGS:
+            return True
+        stack += [y for y in x.parts if isinstance(y, Node) and not y.dropped]
+    return False
+
+
+def _measure(root: Node) -> list[Node]:
+    """All nodes that are kept, in page order, with counts and densities."""
+    order = _count(root)
     body = next((n for n, _ in order if n.tag == "body"), root)
+    if hinted := [n for n, _ in order if n.hint]:
+        for n in hinted:
+            n.dropped = _confirmed(n, body)
+        order = _count(root)
     ratio = body.link_chars / body.chars if body.chars else 0.0
     for node, _ in order:
         if not node.chars:

@@ -83,6 +83,19 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+PROSE = "A paragraph of the article that goes on for so many words that nobody would take it for a button."
+
+
+def test_marks_within_an_article_are_hints():
+    links = "".join(f"<li><a href=/{i}>Another story {i}</a>" for i in range(5))
+    page = f"""<body><article><h1>T</h1><p>{PROSE}</p><section id="side-effects"><h2>Side effects</h2><p>{PROSE}</p></section><h2 id="related-work">Related work</h2>
+<p class="legal">{PROSE}</p><h2 id="search-algorithms" class="search">Search</h2><p>See <em class="notice">this</em> <a id="social" href="x">one</a>.</p><section id="legal"><h3>Legal</h3><p>None.</p></section>
+<div class="share">Share</div><div id="social">Follow us</div><div id="related"><h3>Related</h3><ul>{links}</ul></div><ul class="related">{links}</ul></article></body>"""
+    assert html_text.main_text(page).split("\n\n") == ["T", PROSE, "Side effects", PROSE, "Related work", PROSE, "Search", "See this one.", "Legal", "None."]
+    bare = f"<body><div id=content><p>{PROSE}</p><div id=side-effects><p>{PROSE}</p></div><div id=site-footer><p>{PROSE}</p></div></div></body>"
+    assert html_text.main_text(bare) == f"{PROSE}\n\n{PROSE}"
+
+
 def test_extract(spark, table, pages):
     out = html_text.extract(table)
     assert rows_of(out) == sorted([(p, u, html_text.main_text(h), len(html_text.main_text(h))) for p, u, h in pages], key=repr)

@@ -4,7 +4,8 @@ A page is parsed into a tree, and subtrees that are boilerplate by their tag, ro
 main, and where an id has words besides, a mark in class or id is only a hint, which the link ratio or a low density must confirm. For every node
 that is left the link-adjusted number of characters per tag is computed; a node's density sum is that of its children. The
 node with the largest sum is the core; the least density on its path to the body is the threshold, and every subtree that
-reaches it belongs to the text. Where the core lies in an article or main element, that element as a whole is the text.
+reaches it belongs to the text, widened to the outermost article or main that it lies in. Of what stands in a main beside its
+articles, lists of links are left out.
 
 Cases: null and empty pages, and pages without text, give an empty text; a page without any markup is its own text; unclosed,
 misnested and truncated tags are tolerated; no page is cut; rows are never merged; further columns are ignored."""
@@ -40,6 +41,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARTS = frozenset("site page main global top bottom left right header primary secondary wrapper wrap container content box bar area block section list links inner outer widget panel form".split())
 #: Characters of unlinked text from which a block is long; a long block is never cut off for its id alone.
 LONG = 80
+#: A block of so many links is a list of links if most of its text is theirs and the rest isn't long.
+LINKS = 3
 #: Class tokens of a layout that merely has such a part, and of a page's head.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|show|hide)[_-]\S*", re.IGNORECASE)
 PAGE_HEAD = re.compile(r"(?:^|\s)(?:header|site[_-]header|page[_-]header|masthead|top-?bar)(?:$|\s)", re.IGNORECASE)
@@ -75,7 +78,7 @@ def _boilerplate(tag: str, attributes: str, above: Node) -> bool | str:
     """Whether an element is boilerplate; "class" or "id" where only a mark there hints at it."""
     if tag in DROPPED:
         return True
-    if tag == "header" and above.scope != "article":
+    if tag == "header" and not above.scope:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
@@ -92,7 +95,7 @@ def _boilerplate(tag: str, attributes: str, above: Node) -> bool | str:
     if MARKS.search(names[1]):
         anchor = any(not (w in PARTS or w.isdigit() or MARKS.search(w)) for w in re.split(r"[\s_-]+", names[1].lower()) if w)
         return "id" if above.scope or anchor else True
-    return above.scope != "article" and any(PAGE_HEAD.search(n) for n in names)
+    return not above.scope and any(PAGE_HEAD.search(n) for n in names)
 
 
 def parse(page: str) -> Node:
@@ -224,21 +227,50 @@ def select(root: Node) -> list[Node]:
     if not below:
         return [body if body.chars else root]
     core = max(below, key=lambda n: max(n.total, n.density))
-    up = core
-    while up is not None and up.tag not in SCOPES:
-        up = up.parent
-    if up is not None:
-        scope = up
-        while up is not None:
-            if up.tag == "article":
-                scope = up
-            up = up.parent
-        return [scope]
     least, up = core.density, core
     while up is not None and up is not body:
         least, up = min(least, up.density), up.parent
     least = min(least, body.density)
-    return _outermost([n for n in below if n.density >= least]) or [core]
+    dense = [n for n in below if n.density >= least]
+    scopes = {id(n): up for n in [core, *dense] if (up := _scope(n)) is not None}
+    for x in {id(x): x for x in scopes.values() if x.tag == "main"}.values():
+        _cut_links(x)
+    chosen = {id(scopes.get(id(n), n)) for n in [core, *dense]}
+    return _outermost([n for n in nodes if id(n) in chosen])
+
+
+def _scope(node: Node) -> Node | None:
+    """The outermost article or main that a node lies in or is."""
+    found = None
+    while node is not None:
+        found, node = node if node.tag in SCOPES else found, node.parent
+    return found
+
+
+def _cut_links(main: Node) -> None:
+    """Where a main has articles, lists of links that stand beside them are dropped; any other text stays."""
+    holds, stack = set(), [main]
+    while stack:
+        x = stack.pop()
+        if x.tag == "article":
+            up = x.parent
+            while id(up) not in holds:
+                holds.add(id(up))
+                if up is main:
+                    break
+                up = up.parent
+        else:
+            stack += [y for y in x.parts if isinstance(y, Node) and not y.dropped]
+    stack = [main] if holds else []
+    while stack:
+        for x in stack.pop().parts:
+            if isinstance(x, str) or x.dropped or x.tag == "article" or x.tag in INLINE or x.tag in HEADINGS:
+                continue
+            plain = x.chars - x.link_chars
+            if id(x) in holds or x.link_tags < LINKS or plain >= LONG or 2 * plain >= x.chars:
+                stack.append(x)
+            else:
+                x.dropped = True
 
 
 def _outermost(nodes: list[Node]) -> list[Node]:

@@ -96,6 +96,18 @@ def test_marks_within_an_article_are_hints():
     assert html_text.main_text(bare) == f"{PROSE}\n\n{PROSE}"
 
 
+def test_all_articles_and_main_text_stay():
+    parts = [f"{PROSE} Part {i}." for i in range(4)]
+    several = "".join(f"<article><h2>Part {i}</h2><p>{x}</p><p>Brief.</p></article>" for i, x in enumerate(parts))
+    text = [y for i, x in enumerate(parts) for y in (f"Part {i}", x, "Brief.")]
+    for page in (f"<body><nav><a href=/>Home</a></nav>{several}<footer>foot</footer></body>", f"<body><div><div>{several}</div></div></body>"):
+        assert html_text.main_text(page).split("\n\n") == text
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Another story {i}</a>" for i in range(5)) + "</ul>"
+    page = f"<body><header>Site</header><main><header><h1>Headline</h1></header><p>A lead.</p><div>{links}<div>{several}</div></div>{links}<p>See <a href=/>this and that</a>.</p><p>{PROSE}</p></main></body>"
+    assert html_text.main_text(page).split("\n\n") == ["Headline", "A lead.", *text, "See this and that.", PROSE]
+    assert html_text.main_text(f"<body><article><p>{PROSE}</p></article><div><p>{PROSE}</p></div></body>") == f"{PROSE}\n\n{PROSE}"
+
+
 def test_extract(spark, table, pages):
     out = html_text.extract(table)
     assert rows_of(out) == sorted([(p, u, html_text.main_text(h), len(html_text.main_text(h))) for p, u, h in pages], key=repr)

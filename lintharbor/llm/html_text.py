@@ -8,7 +8,8 @@ reaches it belongs to the text, widened to the outermost article or main that it
 articles, lists of links are left out.
 
 Cases: null and empty pages, and pages without text, give an empty text; a page without any markup is its own text; unclosed,
-misnested and truncated tags are tolerated; no page is cut; rows are never merged; further columns are ignored."""
+misnested and truncated tags are tolerated; of an unclosed svg, object, video or the like only the opening tag is dropped, while
+the code of an unclosed script or style reaches to the end of the page; no page is cut; rows are never merged; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -50,6 +51,11 @@ PAGE_HEAD = re.compile(r"(?:^|\s)(?:header|site[_-]header|page[_-]header|masthea
 SCOPES = frozenset(("article", "main"))
 #: Quotes bound an attribute's value only after "="; the possessive loops keep the scan linear on damaged markup.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.DOTALL)
+#: Elements of RAW that may be nested, and those of them that "/>" closes.
+NESTED = frozenset("template svg math canvas object audio video select".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Of an unclosed select, its options.
+OPTIONS = re.compile(r"(?:\s*<(?:option|optgroup)\b[^>]*>[^<]*|\s*</(?:option|optgroup)\b[^>]*>)+", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Opening one of these closes an open one of those, up to the nearest of the stoppers.
 CLOSES = {
@@ -98,11 +104,28 @@ def _boilerplate(tag: str, attributes: str, above: Node) -> bool | str:
     return not above.scope and any(PAGE_HEAD.search(n) for n in names)
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """For each closed element ``tag`` of a page, where its opening tag begins: where its closing tag ends."""
+    found, opened = {}, []
+    words = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\b|\Z)|<(/?){tag}(?=[\s/>])((?:[^>=]|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.DOTALL | re.IGNORECASE)
+    for m in words.finditer(page):
+        if m[2] is None:
+            continue
+        if not m[2]:
+            if not (tag in FOREIGN and m[3].endswith("/")):
+                opened.append(m.start())
+        elif opened:
+            found[opened.pop()] = m.end()
+    return found
+
+
 def parse(page: str) -> Node:
     """The tree of a page; its root stands for the body where the page names none."""
     root = node = Node("root", None)
     at, end, last = 0, len(page), page.rfind(">")
     flat: dict[str, int] = {}
+    ends: dict[str, dict[int, int]] = {}
+    unclosed: set[str] = set()
     while at < end:
         m = TOKEN.search(page, at) if at <= last else None
         if m is None:  # no tag is left, but the end of the page may cut one off
@@ -139,14 +162,24 @@ def parse(page: str) -> Node:
         said = _boilerplate(tag, attributes, node)
         new = Node(tag, node, said is True, said or None if said is not True else None)
         node.parts.append(new)
-        if tag in VOID or attributes.endswith("/") and tag not in INLINE | RAW:
+        if tag in VOID or attributes.endswith("/") and (tag in FOREIGN or tag not in INLINE | RAW):
+            continue
+        if tag in NESTED:  # without a closing tag, only the opening one is dropped, and a select's options
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
+            if m.start() in ends[tag]:
+                at = ends[tag][m.start()]
+            elif tag == "select" and (options := OPTIONS.match(page, at)):
+                at = options.end()
             continue
         if tag in RAW:  # its content is no markup
-            shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            if tag in ("svg", "math", "select", "object", "audio", "video", "canvas", "noscript", "template", "iframe") or shut:
-                at = shut.end() if shut else end
+            shut = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at) if tag not in unclosed else None
+            if shut:
+                at = shut.end()
             elif tag in ("script", "style"):
                 at = end
+            else:
+                unclosed.add(tag)  # no later one is closed either
             continue
         node = new
     return root

@@ -108,6 +108,25 @@ def test_all_articles_and_main_text_stay():
     assert html_text.main_text(f"<body><article><p>{PROSE}</p></article><div><p>{PROSE}</p></div></body>") == f"{PROSE}\n\n{PROSE}"
 
 
+@pytest.mark.parametrize(
+    ("markup", "rest"),
+    [
+        ('<svg class="icon" viewBox="0 0 1 1"/>', ""), ("<math/>", ""), ("<svg><g><svg><path/></svg><text>in</text></g></svg>", ""), ("<svg><svg/><text>in</text></svg>", ""),
+        ("<object data=a><object data=b>in</object>in</object>", ""), ("<svg>", ""), ("<canvas>", ""), ("<video src=x>", ""), ("<audio>", ""), ("<object data=x>", ""), ("<iframe src=x>", ""), ("<noscript>", ""), ("<template>", ""),
+        ("<select><option>in<option value=1>in too</option>", ""), ("<svg><!-- </svg> --><text>in</text></svg>", ""), ("<svg-icon>own </svg-icon>", "own"),
+    ],
+)
+def test_embedded_elements_drop_only_themselves(markup, rest):
+    page = f"<body><article><p>{PROSE} {markup} More.</p><p>{PROSE}</p><p>An <svg>x</svg> end.</p></article></body>"
+    for got in (html_text.main_text(page), html_text.main_text(page.replace("<svg>x</svg>", "<b>x</b>"))):
+        assert got.split() == f"{PROSE} {rest} More. {PROSE} An {'x ' if ' x ' in got else ''}end.".split()
+
+
+def test_unclosed_elements_take_linear_time():
+    page = "<article>" + "<svg><p>word" * 20_000
+    assert html_text.main_text(page).count("word") == 20_000
+
+
 def test_extract(spark, table, pages):
     out = html_text.extract(table)
     assert rows_of(out) == sorted([(p, u, html_text.main_text(h), len(html_text.main_text(h))) for p, u, h in pages], key=repr)

@@ -9,21 +9,33 @@ Aliases are compared as url strings without fragment, with A-Z of scheme and hos
 meta refreshes of the pages, and from an edge table (src, dst) where one is given.
 
 Cases: a null url, and one without "://", has an empty host and path, fits no rule and has no alias; null html gives no edge;
-links that are neither absolute, scheme-relative nor root-relative give no edge; repeated rows are judged each; further
+relative links are resolved against the page's first base href, or its url; absolute ones are compared as they stand; links of schemes
+without "//" (mailto:, data:) and empty ones give no edge; repeated rows are judged each; further
 columns are ignored."""
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections.abc import Iterator
 from functools import reduce
+from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, join_unique, materialize, work_dir
+from ._common import ascii_lower, bounded_batches, join_unique, materialize, work_dir
 from .components import connected_components
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Tags that can give an edge or what links are relative to; ">" in a quoted value doesn't end one.
+TAGS = r"""(?is)<(?:link|meta|base)(?=[\s/])[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)")
+SCHEME = re.compile(r"([a-zA-Z][a-zA-Z0-9+.-]*):")
+REFRESH = re.compile(r"""(?is)^[\s\d.]*[\s;,]*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""")
 #: Rules are laid into the plan as literals.
 MOST_RULES = 2000
 
@@ -65,19 +77,80 @@ def node_of(url: Column) -> Column:
     return F.when(at > 0, F.concat(ascii_lower(head), F.substring(bare, F.length(head) + 1, F.length(bare))))
 
 
+def decoded(value: str) -> str:
+    """An attribute's value with its character references decoded; as in browsers, a name without ";" before "=" or a letter or digit is none."""
+
+    def one(m: re.Match) -> str:
+        if m[0][1] == "#":
+            return entities.unescape(m[0])
+        return m[0] if m[0][-1] != ";" and value[m.end() : m.end() + 1] == "=" else html5.get(m[0][1:], m[0])
+
+    return REFERENCE.sub(one, value) if "&" in value else value
+
+
+def without_dots(path: str) -> str:
+    """A path that begins with "/", its dot segments removed."""
+    out, parts = [], path.split("/")[1:]
+    for i, x in enumerate(parts):
+        plain = x.lower().replace("%2e", ".")
+        if plain == "..":
+            del out[-1:]
+        if plain not in (".", ".."):
+            out.append(x)
+        elif i == len(parts) - 1:
+            out.append("")
+    return "/" + "/".join(out)
+
+
+def resolved(link: str, base: str) -> str | None:
+    """A link as a url; ``base`` is a url with "://". None for what has no host."""
+    scheme, _, rest = base.partition("://")
+    host, path, query = re.match(r"(?s)([^/?#]*)([^?#]*)(\?[^#]*)?", rest).groups()
+    if m := SCHEME.match(link):
+        if link.startswith("//", m.end()):
+            return link
+        if m[1].lower() not in ("http", "https") or m[1].lower() != scheme.lower():
+            return None
+        link = link[m.end() :]  # as browsers do, relative in spite of its scheme
+    if link.startswith("//"):
+        return f"{scheme}:{link}"
+    to, asked, mark = re.match(r"(?s)([^?#]*)(\?[^#]*)?(#.*)?", link).groups()
+    if not to:
+        return f"{scheme}://{host}{path}{query or '' if asked is None else asked}{mark or ''}"
+    to = to if to[0] == "/" else (path.rpartition("/")[0] if path else "") + "/" + to
+    return f"{scheme}://{host}{without_dots(to)}{asked or ''}{mark or ''}"
+
+
+def targets(url: str, tags: list[str]) -> list[str]:
+    """The urls that the canonical links and meta refreshes among a page's link, meta and base tags lead to."""
+    links, base = [], None
+    for tag in tags:
+        found: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(tag, 5):
+            found.setdefault(m[1].lower(), decoded(m[2] or m[3] or m[4] or ""))
+        kind, link = tag[1:5].lower(), ""
+        if kind == "base":
+            base = found["href"].strip() if base is None and "href" in found else base
+        elif kind == "link" and "canonical" in found.get("rel", "").lower().split():
+            link = found.get("href", "")
+        elif kind == "meta" and found.get("http-equiv", "").strip().lower() == "refresh":
+            link = next((x for x in REFRESH.match(found.get("content", "")).groups() if x), "")
+        links += [link.strip()] if link.strip() else []
+    return [to for x in links if (to := resolved(x, (base and resolved(base, url)) or url))]
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) from the canonical links and meta refreshes of ``pages`` (url, html)."""
-    tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    said = pages.select("url", F.explode(tags).alias("tag")).filter(r"tag rlike '(?is)rel\\s*=\\s*[\"\']?canonical\\b' or tag rlike '(?is)http-equiv\\s*=\\s*[\"\']?refresh\\b'")
-    quoted = lambda p: F.regexp_extract("tag", p, 1)
-    refresh = F.regexp_extract("tag", r"""(?is)content\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'>\s]+)""", 1)
-    href = F.coalesce(*[F.nullif(quoted(p), F.lit("")) for p in (r'(?is)\bhref\s*=\s*"([^"]*)"', r"(?is)\bhref\s*=\s*'([^']*)'", r"(?is)\bhref\s*=\s*([^\s\"'>]+)")], F.lit(""))
-    link = F.trim(F.regexp_replace(F.when(F.lower(F.substring("tag", 1, 5)) == "<link", href).otherwise(refresh), "(?i)&amp;", "&"))
-    # explode of one-element arrays keeps the optimizer from copying each step into the next one's many uses of it
-    led = said.select("url", F.explode(F.array(link)).alias("link"))
-    link, scheme, root = F.col("link"), F.regexp_extract("url", r"(?s)^(.*?):", 1), F.regexp_extract("url", r"(?s)^.*?://[^/?#]*", 0)
-    target = F.when(F.instr(link, "://") > 0, link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(root, link))
-    led = led.select("url", F.explode(F.array(target)).alias("target"))
+    bounded_batches(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [(u, to) for u, tags in zip(batch.column("url").to_pylist(), batch.column("tags").to_pylist(), strict=True) for to in targets(u, tags)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.string()) for i in range(2)], names=["url", "target"])
+
+    # only pages with such a tag go to Python; explode of one-element arrays keeps the optimizer from copying each step into the next one's many uses of it
+    told = pages.filter("instr(url, '://') > 0").select("url", F.explode(F.array(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TAGS), F.lit(0)))).alias("tags"))
+    led = told.filter(r"exists(tags, t -> t rlike '(?is)^<(?:link.*(?:canonical|&)|meta.*http-equiv)')").mapInArrow(run, "url string, target string")
     ends = led.select(F.explode(F.array(F.struct(node_of(F.col("url")).alias("src"), node_of(F.col("target")).alias("dst")))).alias("e"))
     return ends.select("e.src", "e.dst").filter("src is not null and dst is not null and src <> dst")
 

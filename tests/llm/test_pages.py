@@ -166,6 +166,48 @@ def test_aliases_carry_decisions(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, PAGES), edges=extra).collect()}[7] == "block"
 
 
+def test_relative_links_against_brute_force(spark):
+    """Random relative links, resolved by urllib and joined by a plain search."""
+    from urllib.parse import urljoin
+
+    r = random.Random(4)
+    hosts = ["https://a.org", "https://b.org", "https://bad.net", "https://c.info"]
+    urls = [h + p + q for h in hosts for p in ("/", "/x", "/x/", "/x/y", "/x/y/z", "/fr/d") for q in ("", "?id=3")]
+    links = ["y", "../x", "../../x/y", "./", "..", "?id=3", "y?id=3", "/x/./y", "/x/../fr/d", "z#top", "//bad.net/x", "https://c.info/x"]
+    rows, near = [], defaultdict(set)
+    for i, u in enumerate(urls):
+        link, base = r.choice(links) if r.random() < 0.3 else None, r.choice(["", "", "/x/", "../", "https://b.org/x/"])
+        head = f'<base target=_top><base href="{base}"><base href="/no/">' if base else ""
+        tag = r.choice(['<link rel="alternate CANONICAL nofollow" href="{}">', "<link href='{}' rel='shortlink&#32;canonical'/>", '<meta http-equiv="Refresh" content="0; url={}">', "<meta content='3;{}' http-equiv=refresh>"])
+        if link:
+            to = urljoin(urljoin(u, base), link).split("#")[0]
+            near[u].add(to)
+            near[to].add(u)
+            link = link.replace("/", r.choice(["/", "&#47;", "&sol;", "&#x2f;"])).replace("?", "&quest;")
+        rows.append((i, u, head + (tag.format(link) if link else '<link rel="canonicals" href="//bad.net/no">')))
+    out = {x.page_id: x.verdict for x in url_filter.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, u in enumerate(urls):
+        seen, todo = {u}, [u]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        said = {judged(x)[3] for x in seen}
+        assert out[i] == (judged(u)[3] or ("allow" if "allow" in said else "block" if "block" in said else "allow")), u
+    assert "block" in {out[i] for i, u in enumerate(urls) if not judged(u)[3]}
+
+
+@pytest.mark.parametrize(
+    ("link", "to"),
+    [
+        ("page.html", "https://a.org/d/page.html"), ("../x", "https://a.org/x"), ("?id=3", "https://a.org/d/p?id=3"), ("../../../x/./y/", "https://a.org/x/y/"), ("login?to=https://b.org/", "https://a.org/d/login?to=https://b.org/"),
+        ("/r?to=https://b.org/", "https://a.org/r?to=https://b.org/"), ("?a=1&copy=2&amp;b&#61;3", "https://a.org/d/p?a=1&copy=2&b=3"), ("https&colon;//b.org/x", "https://b.org/x"), ("mailto:x@b.org", None), ("", None), (" //b.org ", "https://b.org"), ("https:x", "https://a.org/d/x"),
+    ],
+)
+def test_links(link, to):
+    assert url_filter.targets("https://a.org/d/p?q#f", [f'<link title="a>b" href="{link}" rel="x canonical">']) == [to] * (to is not None)
+
+
 # 10 top-k
 
 

@@ -11,8 +11,8 @@ member the number of rows it is linked to and one edge of a spanning forest. Cop
 
 Words are runs of letters and digits, in lower case. Shingles are compared by 64-bit hashes.
 
-Cases: null texts and texts without words are linked to nothing; a text of one to four words is one shingle; rows that share a
-doc_id are the same document and fall into one class; rows without doc_id are named by a negative number made of their text;
+Cases: null texts and texts without words are linked to nothing; a text of one to four words is one shingle; a document is named
+by its doc_id and the hash of its text, so rows with different texts under one doc_id are different documents; rows without doc_id are named by a negative number made of their text;
 texts are read whole; an empty table gives no row; further columns are ignored."""
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ WHOLE_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 200, 100, 2_000_000
 KNOWN_WORDS = 150_000
 WORD = re.compile(r"[^\W_]+")
 SKETCH = "d long, h long, set_hash binary, n long, nodes array<long>"
-LINKS = "d long, h long, linked long, root long"
+LINKS = "d long, h long, linked long, root long, root_h long"
 
 
 def prefix_depth(similarity: float = SIMILARITY, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
@@ -156,16 +156,16 @@ def verify(sets: list[np.ndarray], sides: np.ndarray, similarity: float, allowed
 
 def _verifier(similarity: float, words: int, depth: int, trees: int):
     def unit(rows: list[tuple]) -> list[tuple]:
-        """rows: kind, key, lo, hi, side, d, h, copies, text."""
+        """rows: kind, key, sub, lo, hi, side, d, h, copies, text."""
         kind, key = rows[0][:2]
-        members = list({(r[5], r[6]): r for r in rows}.values())  # a repeated row is the same member
+        members = list({(r[6], r[7]): r for r in rows}.values())  # a repeated row is the same member
         if len(members) < 2:
             return []
-        sets = [shingles(r[8], words) for r in members]
-        sides = np.array([r[4] for r in members])
-        if rows[0][2] != rows[0][3] and len(np.unique(sides)) < 2:
+        sets = [shingles(r[9], words) for r in members]
+        sides = np.array([r[5] for r in members])
+        if rows[0][3] != rows[0][4] and len(np.unique(sides)) < 2:
             return []
-        copies = np.array([r[7] for r in members], np.int64)
+        copies = np.array([r[8] for r in members], np.int64)
         allowed = None
         if kind == 1:  # a pair counts in the first trie in which it shares a node
             nodes = np.array([trie_nodes(s, depth, trees) for s in sets])
@@ -185,21 +185,21 @@ def _verifier(similarity: float, words: int, depth: int, trees: int):
                 a, b = root(i), root(x)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        return [(r[5], r[6], int(n), members[root(i)][5]) for i, (r, n) in enumerate(zip(members, linked, strict=True)) if n]
+        return [(r[6], r[7], int(n), *members[root(i)][6:8]) for i, (r, n) in enumerate(zip(members, linked, strict=True)) if n]
 
-    names = ["kind", "key", "lo", "hi", "side", "d", "h", "copies", "text"]
+    names = ["kind", "key", "sub", "lo", "hi", "side", "d", "h", "copies", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def table(out: list[tuple]) -> Iterator[pa.RecordBatch]:
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["d", "h", "linked", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["d", "h", "linked", "root", "root_h"])
 
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if held and held[0][:4] != row[:4]:
+                if held and held[0][:5] != row[:5]:
                     out += unit(held)
                     held = []
                 held.append(row)
@@ -217,22 +217,23 @@ def names_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
 
 
 def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, trees: int = TREES, target: float = TARGET) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text) as doc_id, d, rep_id (least d with an equal set), class_id (least d reachable over links) and n_links (rows it is similar to)."""
+    """Each row of ``docs`` (doc_id, text) as doc_id, d, h, rep_id (least d with an equal set), class_id and class_h (the document of the least d, then h, reachable over links) and n_links (rows it is similar to)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     folder, depth = work_dir(spark, "ngrams"), prefix_depth(similarity, trees, DEEPEST, target)
     d, h = names_of(docs)
     named = docs.select(d.alias("d"), h.alias("h"), "text")
+    one = F.struct("d", "h")  # a doc_id alone may name several texts
     sketches = materialize(named.mapInArrow(_sketcher(depth, words, trees), SKETCH), f"{folder}/sketches")
     classes = sketches.filter("n > 0").groupBy("set_hash").agg(F.min(F.struct("d", "h")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
     classes = materialize(classes.select("set_hash", "rep.d", "rep.h", "copies", "n", "nodes"), f"{folder}/classes")
 
     spread = classes.select("d", "h", F.explode("nodes").alias("node"))
-    nodes = materialize(spread.groupBy("node").agg(F.count("*").alias("k"), F.min("d").alias("m")).filter("k > 1").select("node", "k", F.col("k").alias("size"), "m"), f"{folder}/nodes")
+    nodes = materialize(spread.groupBy("node").agg(F.count("*").alias("k"), F.min(one).alias("m")).filter("k > 1").select("node", "k", F.col("k").alias("size"), "m"), f"{folder}/nodes")
     met = materialize(join_unique(spread, nodes, "node", "k", F.col("d")).filter("m is not null"), f"{folder}/met")
-    parts = materialize(connected_components(met.select(F.col("m").alias("src"), F.col("d").alias("dst")).distinct()), f"{folder}/parts")
+    parts = materialize(connected_components(met.select(F.col("m").alias("src"), one.alias("dst")).distinct()), f"{folder}/parts")
 
-    sized = classes.join(parts.withColumnRenamed("node", "d"), "d").select("d", "h", "copies", "n", "component")
+    sized = classes.join(parts.select("node.d", "node.h", "component"), ["d", "h"]).select("d", "h", "copies", "n", "component")
     sized = materialize(sized, f"{folder}/sized")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     whole = sized.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
@@ -245,34 +246,35 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int
     by_nodes = per_node.groupBy("component").agg(F.sum("nb").alias("cost"))
     mode = whole.join(by_nodes, "component", "left").select("component", F.col("rows").alias("k"), (F.coalesce("cost", F.col("rows") * F.col("b")) < F.col("rows") * F.col("b")).alias("by_node"))
     chosen = materialize(join_unique(placed, materialize(mode, f"{folder}/mode"), "component", "k", F.col("d")), f"{folder}/chosen")
-    of_part = chosen.filter("not by_node").select("d", "h", "copies", F.lit(0).alias("kind"), F.col("component").alias("key"), "b")
+    of_part = chosen.filter("not by_node").select("d", "h", "copies", F.lit(0).alias("kind"), F.col("component.d").alias("key"), F.col("component.h").alias("sub"), "b")
     picked = chosen.filter("by_node").select("d", "h", "copies", "component")
-    of_nodes = met.join(picked, ["d", "h"]).select("d", "h", "copies", F.lit(1).alias("kind"), F.col("node").alias("key"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int").alias("b"))
-    asked = of_part.unionByName(of_nodes).groupBy("d", "h").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("kind", "key", "b")).alias("units"))
+    of_nodes = met.join(picked, ["d", "h"]).select("d", "h", "copies", F.lit(1).alias("kind"), F.col("node").alias("key"), F.lit(0).cast("long").alias("sub"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int").alias("b"))
+    asked = of_part.unionByName(of_nodes).groupBy("d", "h").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("kind", "key", "sub", "b")).alias("units"))
     asked = materialize(asked, f"{folder}/asked")
 
-    read = named.join(asked.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "copies", "text", F.explode("units").alias("u")).select("d", "h", "copies", "text", "u.kind", "u.key", "u.b")
+    read = named.join(asked.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "copies", "text", F.explode("units").alias("u")).select("d", "h", "copies", "text", "u.kind", "u.key", "u.sub", "u.b")
     side = F.pmod(F.xxhash64("d", "h"), F.col("b")).cast("int")
     read = read.select("*", side.alias("side")).select("*", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other"))
-    read = read.select("kind", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "d", "h", "copies", "text")
-    unit = ["kind", "key", "lo", "hi"]
+    read = read.select("kind", "key", "sub", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "d", "h", "copies", "text")
+    unit = ["kind", "key", "sub", "lo", "hi"]
     ranged = read.repartitionByRange(partitions(spark), *unit).sortWithinPartitions(*unit)
     found = materialize(ranged.mapInArrow(_verifier(similarity, words, depth, trees), LINKS), f"{folder}/links")
 
     linked = found.groupBy("d", "h").agg(F.sum("linked").alias("linked"))
-    joined = materialize(connected_components(found.select(F.col("root").alias("src"), F.col("d").alias("dst")).distinct()), f"{folder}/joined")
-    final = classes.select("set_hash", "d", "h", "copies").join(linked, ["d", "h"], "left").join(joined.withColumnRenamed("node", "d"), "d", "left")
-    final = final.select("set_hash", F.col("copies").alias("k"), F.col("d").alias("rep_id"), F.coalesce("component", "d").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    joined = materialize(connected_components(found.select(F.struct(F.col("root").alias("d"), F.col("root_h").alias("h")).alias("src"), one.alias("dst")).distinct()), f"{folder}/joined")
+    final = classes.select("set_hash", "d", "h", "copies").join(linked, ["d", "h"], "left").join(joined.select("node.d", "node.h", "component"), ["d", "h"], "left")
+    final = final.select("set_hash", F.col("copies").alias("k"), F.col("d").alias("rep_id"), F.coalesce("component.d", "d").alias("class_id"), F.coalesce("component.h", "h").alias("class_h"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     final = materialize(final, f"{folder}/final")
-    ids = sketches.select("d", F.when(F.col("d") > -(1 << 61), F.col("d")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash"))
+    ids = sketches.select("d", "h", F.when(F.col("d") > -(1 << 61), F.col("d")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash"))
     out = join_unique(ids, final, "set_hash", "k", F.col("d"))
-    return out.select("doc_id", "d", F.coalesce("rep_id", "d").alias("rep_id"), F.coalesce("class_id", "d").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    own = [F.coalesce(a, b).alias(a) for a, b in (("rep_id", "d"), ("class_id", "d"), ("class_h", "h"))]
+    return out.select("doc_id", "d", "h", *own, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the document of the least doc_id of every class, once."""
+    """``docs`` with the document of the least doc_id (then text hash) of every class, once."""
     classes = similar_classes(docs, **options)
-    kept = materialize(classes.filter("d = class_id").select(F.col("d").alias("_d")).distinct(), work_dir(docs.sparkSession, "kept"))
+    kept = materialize(classes.filter("d = class_id and h = class_h").select(F.col("d").alias("_d"), F.col("h").alias("_h")).distinct(), work_dir(docs.sparkSession, "kept"))
     rows, inner = shielded(docs)
-    d, _ = names_of(rows, inner["doc_id"], inner["text"])
-    return rows.withColumn("_d", d).join(kept.hint("shuffle_hash"), "_d", "left_semi").dropDuplicates(["_d"]).select(*[F.col(i).alias(c) for c, i in inner.items()])
+    d, h = names_of(rows, inner["doc_id"], inner["text"])
+    return rows.withColumns({"_d": d, "_h": h}).join(kept.hint("shuffle_hash"), ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -155,6 +155,19 @@ def test_large_components_in_blocks(spark, monkeypatch, by_node):
     assert {r.doc_id: r.n_links for r in out} == expected
 
 
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    a, b, c = (prose(seed, 100) for seed in (41, 42, 43))
+    rows = [(1, a), (1, a), (1, b), (1, "..."), (2, a + " more"), (3, b + " more"), (3, c), (4, c + " more"), (None, b)]
+    out = ngram_join.similar_classes(spark.createDataFrame(rows, DOCS))
+    links = defaultdict(list)
+    for r in out.collect():
+        links[r.doc_id].append(r.n_links)
+    assert {k: sorted(v) for k, v in links.items()} == {1: [0, 2, 2, 2], 2: [2], 3: [1, 2], 4: [1], None: [2]}
+    assert out.select("class_id", "class_h").distinct().count() == 4
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert rows_of(kept) == sorted([(1, a), (1, "..."), (3, c), (None, b)], key=repr)
+
+
 def test_prefix_depth_reaches_the_target():
     d = ngram_join.prefix_depth()
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.TARGET > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES

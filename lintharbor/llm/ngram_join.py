@@ -1,9 +1,10 @@
-"""Similarity self-join on word shingles by a MinHash LSH forest with exact verification.
+"""Similarity self-join on word shingles by MinHash LSH in bands of fixed depth, with exact verification.
 
 Every text becomes the set of its five-word shingles; texts with equal sets are one class of copies and represented once. A
-signature is dealt out to ``TREES`` prefix tries. Starting from the deepest level, the matched prefix is shortened until the
-chance that a pair at the asked similarity shares a node in some trie reaches the target recall; the nodes of that level, in
-sorted order, hold the candidates. Candidates that hang together are verified together on their whole shingle sets.
+signature is dealt out to ``TREES`` bands. Their depth is computed once, from the constants and not from the data: starting
+from the deepest, it is lowered until the chance that a pair at the asked similarity shares a band reaches the target recall.
+Equal hashes of a band ("nodes") hold the candidates; no trie is built. Candidates that hang together are verified together on
+their whole shingle sets.
 
 Nothing is emitted per pair: a node gives one edge per member, components of candidates are split into units of bounded size
 (whole components, or pairs of blocks of a large component or of its nodes, whichever reads fewer rows), and a unit returns per

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -11,6 +12,8 @@ import pytest
 from lintharbor.llm import html_text, top_k, url_filter, warc
 from lintharbor.llm._common import work_dir
 
+from .conftest import prose
+
 PAGES = "page_id long, url string, html string"
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div><!-- <p>no</p> -->
@@ -127,6 +130,105 @@ def test_unclosed_elements_take_linear_time():
     assert html_text.main_text(page).count("word") == 20_000
 
 
+def test_density_rejects_an_unmarked_menu():
+    links = "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(6))
+    for menu in (f"<ul>{links}</ul>", f"<div>{links}</div>", f"<div><p><a href=/1>Terms</a> <a href=/2>Privacy</a> <a href=/3>Imprint</a></p></div>"):
+        for page in (f"<div>{menu}<div><p>{PROSE}</p><p>{PROSE}</p></div></div>", f"<div><div><p>{PROSE}</p><p>{PROSE}</p></div>{menu}</div>", f"<div>{menu}<p>{PROSE}</p><p>{PROSE}</p></div>"):
+            assert html_text.main_text(f"<body>{page}</body>") == f"{PROSE}\n\n{PROSE}"
+
+
+def test_marks_yield_to_what_the_page_holds():
+    page = f'<body><div class="widget"><h1>T</h1><p>{PROSE}</p></div><div class="widget"><p>{PROSE} No.</p></div></body>'
+    assert html_text.main_text(page) == f"T\n\n{PROSE}"
+    assert html_text.main_text(f'<body><div class="notice"><p>{PROSE}</p></div></body>') == PROSE
+    assert html_text.main_text(f"<body>{PROSE}<br>{PROSE}<div><a href=x>a</a> <a href=y>b</a> <a href=z>c</a></div></body>") == f"{PROSE} {PROSE}"
+
+
+def test_what_surrounds_an_article_goes_at_any_depth():
+    for tag in ("nav", "aside", "footer", "form"):
+        assert html_text.main_text("<div>" * 3000 + f"<{tag}>no</{tag}><p>{PROSE}</p>") == PROSE
+
+
+def test_selection_against_brute_force():
+    """Random pages of nested blocks and links, their densities and choices computed from the definitions on a tree of the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.top = self.at = {"tag": "root", "up": None, "in": []}
+
+        def handle_starttag(self, tag, attrs):
+            self.at["in"].append(new := {"tag": tag, "up": self.at, "in": []})
+            self.at = new
+
+        def handle_endtag(self, tag):
+            self.at = self.at["up"]
+
+        def handle_data(self, data):
+            self.at["in"].append(data)
+
+    below = lambda n: [x for x in n["in"] if isinstance(x, dict)]
+    every = lambda n: [y for x in below(n) for y in every(x)] + [n]
+    chars = lambda n: sum(len(x.strip()) if isinstance(x, str) else chars(x) for x in n["in"])
+    linked = lambda n: sum(0 if isinstance(x, str) else chars(x) if x["tag"] == "a" else linked(x) for x in n["in"])
+    links = lambda n: sum(x["tag"] == "a" for x in every(n)[:-1])
+
+    def density(n, body):
+        c, lc, t, lt = chars(n), chars(n) if n["tag"] == "a" else linked(n), max(len(every(n)) - 1, 1), max(links(n), 1)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + linked(body) / chars(body) * c + math.e)
+        return c / t * (max(math.log(c / max(lc, 1) * t / lt) / math.log(base), 0.0) if base > 1 else 1.0)  # a page without links: characters per tag
+
+    def expected(page):
+        parser = Tree()
+        parser.feed(page)
+        body = below(parser.top)[0]
+        d = {id(n): density(n, body) for n in every(body)}
+        total = {id(n): max(sum(d[id(x)] for x in below(n)), 0.0 if n is body else d[id(n)]) for n in every(body)}
+        blocks = lambda n: [x for x in every(n) if x["tag"] != "a"]
+        best = lambda n: max(blocks(n), key=lambda x: total[id(x)])
+        up = core = best(body)
+        least = d[id(core)]
+        while up is not body:
+            up = up["up"]
+            least = min(least, d[id(up)])
+        chosen = {id(best(n)) for n in blocks(body) if d[id(n)] >= least and chars(n)}
+        out = []
+
+        def walk(n, inside):
+            inside = inside or id(n) in chosen
+            plain = chars(n) - linked(n)
+            if inside and id(n) not in chosen and n["tag"] != "a" and d[id(n)] < least and links(n) >= 3 and plain < 80 and 2 * plain < chars(n):
+                return
+            if all(isinstance(x, str) or x["tag"] == "a" for x in n["in"]):
+                line = " ".join("".join(x if isinstance(x, str) else "".join(x["in"]) for x in n["in"]).split())
+                out.extend([line] if inside and line else [])
+            else:
+                for x in below(n):
+                    walk(x, inside)
+
+        walk(body, False)
+        return "\n\n".join(out)
+
+    r = random.Random(12)
+
+    def block(depth):
+        if depth and r.random() < 0.6:
+            return f"<div>{''.join(block(depth - 1) for _ in range(r.randrange(1, 5)))}</div>"
+        if r.random() < 0.35:
+            return f"<ul>{''.join(f'<li><a>{prose(r.randrange(99), r.randrange(1, 4))}</a></li>' for _ in range(r.randrange(1, 7)))}</ul>"
+        return f"<div>{prose(r.randrange(99), r.choice((2, 8, 25, 60)))}{r.choice(('', ' <a>more</a>'))}</div>"
+
+    cut = 0
+    for _ in range(200):
+        page = f"<body>{''.join(block(3) for _ in range(r.randrange(1, 4)))}</body>"
+        assert html_text.main_text(page) == expected(page), page
+        cut += expected(page).count(" ") < re.sub("<[^>]*>", " ", page).count("w") - 1
+    assert cut > 50
+
+
 def test_extract(spark, table, pages):
     out = html_text.extract(table)
     assert rows_of(out) == sorted([(p, u, html_text.main_text(h), len(html_text.main_text(h))) for p, u, h in pages], key=repr)

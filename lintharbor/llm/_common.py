@@ -27,7 +27,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="lintharbor-")
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{base.rstrip('/')}/lintharbor/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/lintharbor/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def sweep(spark: SparkSession, folder: str) -> None:
+    """Delete what this application's operators have written under ``folder`` (``spark.checkpoint.dir``), once no result of theirs is read any more.
+
+    Results are lazy and read written tables, so an operator can't delete these itself."""
+    discard(spark, f"{folder.rstrip('/')}/lintharbor/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -42,13 +49,15 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Before Python runs on executors: ship the package to them, and hold Arrow batches to ``rows`` rows, so that long texts don't fill a worker."""
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Before Python runs on executors: ship the package to them, and hold Arrow batches to about ``size`` bytes (or one row), so that long texts don't fill a worker.
+
+    The setting stays, because the operators' results are evaluated later; a smaller one of the caller's is left alone. The number of rows isn't touched."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -82,6 +91,6 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, salt:
     cold = right.filter(~is_hot).select(key, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
     marked = left.join(F.broadcast(hot), key, "left")
     dealt = F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), 1 + F.pmod(F.xxhash64(salt), F.lit(65521)).cast("int")).otherwise(0)
-    joined = marked.withColumn("_salt", dealt).join(cold.hint("shuffle_hash"), [key, "_salt"], "left")
+    joined = marked.withColumn("_salt", dealt).join(cold, [key, "_salt"], "left")
     picked = F.coalesce("_hot", "_cold")
     return joined.select(*left.columns, *[picked[c].alias(c) for c in values])

@@ -344,6 +344,41 @@ def test_scores_do_not_depend_on_the_batch():
     assert all(s[0] == 0 and s[-1] + quality.CHUNK >= n and all(b - a < quality.CHUNK for a, b in zip(s, s[1:])) for s, n in zip(starts, (0, 1, 64, 256, 257, 1000)))
 
 
+def test_pooling_against_brute_force():
+    """Scores, and the places that gradients go to, from the definition, chunk by chunk."""
+    net = quality.Network(3)
+    texts = [prose(i, n).encode() for i, n in enumerate((0, 1, 9, 60, 700))]
+    best, where, owners, codes = net.pooled(texts)
+    row = 0
+    for i, t in enumerate(texts):
+        for start in quality.chunk_starts(len(t)):
+            x = np.full(quality.CHUNK + quality.WIDTH - 1, quality.PAD)
+            x[: len(t) - start] = np.frombuffer(t[start : start + len(x)], np.uint8)
+            each = np.array([[net.table[k][x[p + k]] for k in range(quality.WIDTH)] for p in range(quality.CHUNK)]).sum(1)
+            assert owners[row] == i and np.allclose(best[row], each.max(0), atol=1e-5)
+            for f, at in enumerate(where[row]):
+                assert at < 0 or abs(sum(net.table[k][codes[at + k], f] for k in range(quality.WIDTH)) - best[row, f]) < 1e-5
+            row += 1
+    assert row == len(best)
+
+
+def test_whole_texts_are_learned_from():
+    """What tells the classes apart stands deep inside long texts."""
+    samples = [((prose(i, 300) + (" %%% ### $$$" * 20 if i % 2 else " plain words here" * 14) + prose(i + 999, 300)).encode(), 1 - i % 2) for i in range(120)]
+    net = quality.fit(samples[:80], 0.5, crops=0)
+    assert np.mean([(p >= 0.5) == y for p, (_, y) in zip(net.score([t for t, _ in samples[80:]]), samples[80:])]) >= 0.95
+
+
+def test_conflicts_and_shared_ids_are_settled(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30)) for i in range(40)] + [(1, prose(500, 30)), (1, None)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 1)], "doc_id long, quality int")
+    a, b = (quality.learn(docs.repartition(n), labels.repartition(n)) for n in (1, 3))
+    assert np.array_equal(a.table, b.table)
+    taken = docs.withColumn("score", F.lit("x")).withColumn("score_", F.lit("y"))
+    out = quality.classify(taken, a)
+    assert out.columns == ["doc_id", "text", "score", "score_", "score__"] and out.select("score").distinct().collect()[0][0] == "x"
+
+
 def test_held_out(spark):
     out = spark.range(50).select("id", quality.held_out(F.col("id")).alias("x")).collect()
     assert all(r.x == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in out)

@@ -8,6 +8,8 @@ verdict is allow.
 Aliases are compared as url strings without fragment, with A-Z of scheme and host lower-cased. Edges come from canonical links and
 meta refreshes of the pages, and from an edge table (src, dst) where one is given.
 
+Rules are a short list, laid into the plan, or one of any length, joined.
+
 Cases: a null url, and one without "://", has an empty host and path, fits no rule and has no alias; null html gives no edge;
 relative links are resolved against the page's first base href, or its url; absolute ones are compared as they stand; links of schemes
 without "//" (mailto:, data:) and empty ones give no edge; repeated rows are judged each; further
@@ -36,8 +38,8 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)")
 SCHEME = re.compile(r"([a-zA-Z][a-zA-Z0-9+.-]*):")
 REFRESH = re.compile(r"""(?is)^[\s\d.]*[\s;,]*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""")
-#: Rules are laid into the plan as literals.
-MOST_RULES = 2000
+#: Up to so many rules are laid into the plan as literals; more are joined.
+MOST_LITERALS = 2000
 
 
 def _rest(url: Column) -> Column:
@@ -57,8 +59,6 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule that fits, as a struct (rule, verdict), or null. Of equally long ones an allow rule is taken."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1:]))
     if not ordered:
         return F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -69,6 +69,38 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.when(first.isNotNull(), F.struct(first["rule"].alias("rule"), first["verdict"].alias("verdict")))
 
 
+def with_rule(rows: DataFrame, rules, folder: str) -> DataFrame:
+    """``rows`` (host, path, ...) with the longest rule that fits as ``own``, a struct (rule, verdict), or null.
+
+    rules: tuples (verdict, host, path), or a table with these columns. A few are literals; of many, whose table may be of any size, every
+    host's parent domains and every path's beginnings, of the lengths that the rules have, are looked up by an equi-join."""
+    if isinstance(rules, DataFrame):
+        if rules.limit(MOST_LITERALS + 1).count() <= MOST_LITERALS:
+            rules = [tuple(r) for r in rules.select("verdict", "host", "path").collect()]
+    elif len(rules) > MOST_LITERALS:
+        rules = rows.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+    if not isinstance(rules, DataFrame):
+        return rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
+    listed = rules.groupBy(F.struct(F.col("host").alias("h"), F.col("path").alias("p")).alias("key")).agg(F.max(F.col("verdict") == "allow").alias("allow"))
+    listed = materialize(listed, f"{folder}/rules")
+    lengths = F.array(*[F.lit(r[0]) for r in listed.select(F.length("key.p")).distinct().orderBy(F.length("key.p")).collect()])  # no more than the longest path has characters
+    parts = F.split("host", r"\.")
+    hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    urls = rows.groupBy(F.struct("host", "path").alias("url")).agg(F.count("*").alias("k"))
+    urls = materialize(urls, f"{folder}/judged")
+    spread = urls.select("url", F.col("url.host").alias("host"), F.col("url.path").alias("path")).select("url", "path", F.explode(hosts).alias("h"))
+    begun = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    spread = spread.select("url", "h", F.explode(begun).alias("p")).select("url", F.struct("h", "p").alias("key"))
+    asked = spread.groupBy("key").agg(F.count("*").alias("n")).join(listed, "key")
+    met = join_unique(spread, materialize(asked, f"{folder}/asked"), "key", "n", F.xxhash64("url")).filter("allow is not null")
+    longest = F.min(F.struct((-F.length("key.h") - F.length("key.p")).alias("size"), (~F.col("allow")).alias("block"), F.col("key.h").alias("h"), F.col("key.p").alias("p")))
+    found = met.groupBy("url").agg(longest.alias("m")).join(urls, "url")
+    own = F.struct(F.concat("m.h", "m.p").alias("rule"), F.when(F.col("m.block"), "block").otherwise("allow").alias("verdict"))
+    found = materialize(found.select("url", own.alias("own"), "k"), f"{folder}/found")
+    names = rows.columns
+    return join_unique(rows.withColumn("url", F.struct("host", "path")), found, "url", "k", F.xxhash64(*names)).select(*names, "own")
+
+
 def node_of(url: Column) -> Column:
     """The form in which aliases are compared; null without "://"."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
@@ -157,13 +189,12 @@ def page_edges(pages: DataFrame) -> DataFrame:
 
 def alias_decisions(edges: DataFrame, rules=RULES) -> DataFrame:
     """(node, decision) for every url of the edges: allow where its component holds an allowed url, else block where it holds a blocked one, else null."""
-    members = connected_components(edges)
-    own = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
-    members = members.select("node", "component", own.alias("own"))
+    folder = work_dir(edges.sparkSession, "aliases")
+    members = connected_components(edges).select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
+    members = with_rule(members, rules, folder).select("node", "component", F.col("own.verdict").alias("own"))
     allowed, blocked = F.max(F.col("own") == "allow"), F.max(F.col("own") == "block")
     per = members.groupBy("component").agg(allowed.alias("a"), blocked.alias("b"), F.count("*").alias("n"))
     per = per.select("component", F.when(F.col("a"), "allow").when(F.col("b"), "block").alias("decision"), "n")
-    folder = work_dir(edges.sparkSession, "aliases")
     return join_unique(materialize(members, f"{folder}/members"), materialize(per, f"{folder}/per"), "component", "n", F.xxhash64("node")).select("node", "decision")
 
 
@@ -176,7 +207,7 @@ def judge(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> Data
     found = materialize(found.distinct(), f"{folder}/edges")
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    rows = rows.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
+    rows = with_rule(rows, rules, folder)
     if found.isEmpty():
         rows = rows.withColumn("decision", F.lit(None).cast("string"))
     else:

@@ -256,6 +256,19 @@ def test_rules(spark, table, pages):
     assert url_filter.judge(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_many_rules_are_joined(spark, monkeypatch, table, pages):
+    r = random.Random(6)
+    hosts, paths = ["a.net", "net", "b.a.net", "org", "x.org", ""], ["/", "/a", "/a/b", "/é", ""]
+    rules = [(r.choice(("allow", "block")), r.choice(hosts), r.choice(paths)) for _ in range(60)] + list(url_filter.RULES)
+    urls = [(i, r.choice([None, "no", "http://" + r.choice(["", "z."]) + r.choice(hosts) + r.choice(paths) + r.choice(["", "c", "?q"])]), f'<link rel=canonical href="http://{r.choice(hosts)}/a">') for i in range(150)]
+    for rows, more in ((table, pages), (spark.createDataFrame(urls, PAGES), urls)):
+        few = rows_of(url_filter.judge(rows, rules))
+        monkeypatch.setattr(url_filter, "MOST_LITERALS", 3)
+        assert rows_of(url_filter.judge(rows, rules)) == few and len(few) == len(more)
+        assert rows_of(url_filter.judge(rows, spark.createDataFrame(rules, "verdict string, host string, path string"))) == few
+        monkeypatch.undo()
+
+
 def test_aliases_carry_decisions(spark):
     link = lambda u: f'<head><LINK rel="canonical" href="{u}"></head>'
     rows = [

@@ -356,6 +356,31 @@ def test_top_k(spark, clashing):
     assert top_k.top_k(empty, empty).count() == 0
 
 
+def test_query_rows_that_share_an_id_have_a_list_each(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0])] + [(i, [i / 100, 1 - i / 100]) for i in range(1, 40)]
+    table = top_k.quantised(spark.createDataFrame(rows, VECTORS))
+    assert sorted(rows_of(top_k.top_k(table.filter("vec_id = 50"), table))) == brute(rows)
+    assert len(brute(rows)) == 10
+
+
+def test_clustered_vectors_are_pruned_across_tasks(spark):
+    r = random.Random(5)
+    centres = [[r.gauss(0, 1) for _ in range(12)] for _ in range(8)]
+    rows = [(i, [x + r.gauss(0, 0.05) for x in centres[i % 8]]) for i in range(1200)]
+    table = top_k.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    queries = table.filter("vec_id % 50 = 0")
+    assert sorted(rows_of(top_k.top_k(queries, table, block_rows=32))) == brute(rows)
+    told = top_k.work(queries, table, block_rows=32).first()
+    assert told.scored < 0.6 * told.met
+
+
+def test_scores_beyond_64_bits_are_refused():
+    import numpy as np
+
+    with pytest.raises(OverflowError):
+        top_k._exact(np.full((1, 4), 2**62), np.full((1, 4), 2**62))
+
+
 def test_blocks_below_the_bound_are_skipped():
     import numpy as np
 

@@ -1,14 +1,18 @@
-"""Similarity self-join on word shingles by MinHash LSH in bands of fixed depth, with exact verification.
+"""Similarity self-join on word shingles by a MinHash LSH forest, with exact verification.
 
 Every text becomes the set of its five-word shingles; texts with equal sets are one class of copies and represented once. A
-signature is dealt out to ``TREES`` bands. Their depth is computed once, from the constants and not from the data: starting
-from the deepest, it is lowered until the chance that a pair at the asked similarity shares a band reaches the target recall.
-Equal hashes of a band ("nodes") hold the candidates; no trie is built. Candidates that hang together are verified together on
-their whole shingle sets.
+class has a label in each of ``TREES`` trees: ``DEEPEST`` min-hashes. Labels sorted by tree are a prefix trie: a label's longest common
+prefix with its neighbours is its deepest match, and a run of labels with a common prefix is a node. Labels that match nowhere down to the floor,
+the depth at which even a pair at the asked similarity shares a node with the target recall, are left out at once.
+
+Matching begins with the deepest prefixes. The members of a node are candidates of each other; they are verified on their whole shingle
+sets. Then prefixes are shortened: a pair of similarity s shares a prefix of depth k in some tree with probability p = 1 - (1 - s^k)^trees, so every pair found
+stands for 1 / p pairs, and what was found tells how many pairs are missed yet and how many each shorter depth would miss. The longest one that
+reaches the target recall comes next, until the estimate holds; it can't go below the floor. Of a shorter depth only nodes that branch are visited, and a pair counts at the depth at which it first matches.
 
 Nothing is emitted per pair: a node gives one edge per member, components of candidates are split into units of bounded size
 (whole components, or pairs of blocks of a large component or of its nodes, whichever reads fewer rows), and a unit returns per
-member the number of rows it is linked to and one edge of a spanning forest. Copies enter as multiplicities.
+member the number of rows it is linked to, one edge of a spanning forest, and a histogram of its pairs' similarities. Copies enter as multiplicities.
 
 Words are runs of letters and digits, in lower case. Shingles are compared by 64-bit hashes.
 
@@ -19,7 +23,6 @@ texts are read whole; an empty table gives no row; further columns are ignored."
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,22 +38,44 @@ from .components import connected_components
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEEPEST, TARGET = 24, 8, 0.99999
 #: A component of more rows than the first, or more shingles than the third, is verified in pairs of blocks of the second's size.
-WHOLE_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 200, 100, 2_000_000
+WHOLE_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 800, 400, 1_000_000
+#: Of the histogram of similarities.
+BUCKETS = 1000
 #: Words whose hashes a Python worker remembers.
 KNOWN_WORDS = 150_000
 WORD = re.compile(r"[^\W_]+")
-SKETCH = "d long, h long, set_hash binary, n long, nodes array<long>"
-LINKS = "d long, h long, linked long, root long, root_h long"
+SKETCH = "d long, h long, set_hash binary, n long, labels array<long>"
+TRIE = "tree int, hi long, lo long, d long, h long, matched int"
+LINKS = "d long, h long, linked long, root long, root_h long, bucket int, pairs long"
+
+
+def chance(similarity: float, depth: int, trees: int = TREES) -> float:
+    """That a pair shares a prefix of ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_depth(similarity: float = SIMILARITY, trees: int = TREES, deepest: int = DEEPEST, target: float = TARGET) -> int:
-    """The matched prefix, shortened from ``deepest`` until the chance of a shared node reaches ``target`` (or one level is left)."""
+    """The floor: the depth at which even a pair at the asked similarity is matched with the target recall (or one level is left)."""
     depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < target:
+    while depth > 1 and chance(similarity, depth, trees) < target:
         depth -= 1
     return depth
 
 
+def next_depth(found: dict[int, int], depth: int, similarity: float, trees: int, target: float, floor: int) -> int:
+    """The depth that the pairs found so far ask for: ``depth`` itself where the target recall is reached.
+
+    found: pairs by bucket of similarity. A pair at the asked similarity that nobody has seen is always added, so that few pairs prove little."""
+    share = {b: max(similarity, b / BUCKETS) for b in found}
+    stand_for = {b: n / chance(share[b], depth, trees) for b, n in found.items()}
+    total = sum(stand_for.values()) + 1
+    for k in range(depth, floor, -1):
+        missed = sum(n * (1 - chance(share[b], k, trees)) for b, n in stand_for.items()) + 1 - chance(similarity, k, trees)
+        if missed <= (1 - target) * total:
+            return k
+    return floor
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -90,41 +115,90 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 @lru_cache(maxsize=4)
 def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(11)
-    a, b = r.integers(0, 2**64, (2, count), np.uint64)
-    return a | np.uint64(1), b
+    a, b = r.integers(0, 2**32, (2, count), np.uint32)
+    return a | np.uint32(1), b
+
+
+def signature(s: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """The label in each tree: trees x DEEPEST numbers of 16 bits, a hash of each min-hash."""
+    a, b = _multipliers(trees * DEEPEST)
+    x = (s >> np.uint64(32)).astype(np.uint32)  # already mixed: a linear map reorders it well enough
+    low = np.full(trees * DEEPEST, np.uint32(2**32 - 1))
+    step = max(1, (1 << 18) // len(low))
+    for i in range(0, len(x), step):
+        np.minimum(low, (x[None, i : i + step] * a[:, None] + b[:, None]).min(1), out=low)
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16).reshape(trees, DEEPEST)
+
+
+def packed(label: np.ndarray) -> np.ndarray:
+    """Two longs for each tree, whose bits from the highest down are the label."""
+    return label.astype(">u2").reshape(-1).view(">i8").astype(np.int64)
 
 
-def trie_nodes(s: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """For each trie a number for the node that the signature's prefix of ``depth`` leads to."""
-    a, b = _multipliers(trees * depth)
-    low = np.full(trees * depth, np.uint64(2**64 - 1))
-    step = max(1, (1 << 18) // (trees * depth))
-    for i in range(0, len(s), step):
-        np.minimum(low, _mix(s[None, i : i + step] * a[:, None] + b[:, None]).min(1), out=low)
-    low = low.reshape(trees, depth)
-    node = np.arange(1, trees + 1, dtype=np.uint64)
-    for k in range(depth):
-        node = _mix(node * np.uint64(0x9E3779B97F4A7C15) + low[:, k])
-    return node.view(np.int64)
+def unpacked(longs: list[int]) -> np.ndarray:
+    return np.array(longs, np.int64).astype(">i8").view(">u2").reshape(-1, DEEPEST)
 
 
-def _sketcher(depth: int, words: int, trees: int):
+def _sketcher(words: int, trees: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, nodes = [], [], []
+            digests, sizes, labels = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, words)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 sizes.append(len(s))
-                nodes.append(trie_nodes(s, depth, trees) if len(s) else np.zeros(0, np.int64))
-            columns = [batch.column("d"), batch.column("h"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["d", "h", "set_hash", "n", "nodes"])
+                labels.append(packed(signature(s, trees)) if len(s) else np.zeros(0, np.int64))
+            columns = [batch.column("d"), batch.column("h"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(labels, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "h", "set_hash", "n", "labels"])
 
     return sketch
 
 
-def verify(sets: list[np.ndarray], sides: np.ndarray, similarity: float, allowed=None) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, those j that i is similar to) over the members of a unit. Where ``sides`` differ among them, only pairs across count."""
+def _common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many 16-bit numbers the rows (hi, lo) of two tables share from the front."""
+    same = (a.astype(">i8").view(">u2") == b.astype(">i8").view(">u2")).reshape(len(a), DEEPEST)
+    return np.where(same.all(1), DEEPEST, (~same).argmax(1))
+
+
+def _matcher(floor: int):
+    """Over sorted labels: each with the depth of its deepest match, its neighbours' or, at a partition's ends, perhaps more; without match down to the floor it goes."""
+    names = ["tree", "hi", "lo", "d", "h"]
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, whose next neighbour isn't known
+
+        def told(table: list[np.ndarray], first: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
+            label = np.stack([table[1], table[2]], 1)
+            near = np.where(table[0][1:] == table[0][:-1], _common_prefix(label[1:], label[:-1]), 0) if len(label) > 1 else np.zeros(0, np.int64)
+            ends = lambda on: [DEEPEST if on else 0]
+            return np.concatenate([ends(first), near]), np.concatenate([near, ends(last)])
+
+        def out(table: list[np.ndarray], depth: np.ndarray) -> pa.RecordBatch:
+            keep = depth >= floor
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*table, depth.astype(np.int32))], names=[*names, "matched"])
+
+        first = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                table = [np.concatenate([[a], b]).astype(b.dtype) for a, b in zip(held[0], table, strict=True)]
+            ahead, behind = told(table, first, False)
+            if held is not None:
+                ahead[0] = held[1]
+            depth = np.maximum(ahead, behind)
+            if len(depth) > 1:
+                yield out([c[:-1] for c in table], depth[:-1])
+            held, first = ([c[-1] for c in table], ahead[-1]), False
+        if held is not None:
+            yield out([np.array([x]) for x in held[0]], np.array([DEEPEST]))
+
+    return match
+
+
+def verify(sets: list[np.ndarray], sides: np.ndarray, similarity: float, allowed=None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, those j that i is similar to, the similarities) over the members of a unit. Where ``sides`` differ among them, only pairs across count."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     every, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
@@ -152,26 +226,30 @@ def verify(sets: list[np.ndarray], sides: np.ndarray, similarity: float, allowed
         if allowed is not None and len(j):
             j = j[allowed(i, j)]
         if len(j):
-            yield i, j
+            yield i, j, shared[j] / (sizes[j] + sizes[i] - shared[j])
+
 
+def _verifier(similarity: float, words: int, depth: int, before: int):
+    """``depth``: of the prefixes matched now; ``before``: that of those matched already, whose pairs are settled (over DEEPEST: none)."""
 
-def _verifier(similarity: float, words: int, depth: int, trees: int):
-    def unit(rows: list[tuple]) -> list[tuple]:
-        """rows: kind, key, sub, lo, hi, side, d, h, copies, text."""
-        kind, key = rows[0][:2]
+    def unit(rows: list[tuple]) -> tuple[list[tuple], np.ndarray]:
+        """rows: kind, key, sub, lo, hi, side, d, h, copies, labels, text."""
+        kind, key, sub = rows[0][:3]
         members = list({(r[6], r[7]): r for r in rows}.values())  # a repeated row is the same member
-        if len(members) < 2:
-            return []
-        sets = [shingles(r[9], words) for r in members]
+        pairs = np.zeros(BUCKETS + 1, np.int64)
         sides = np.array([r[5] for r in members])
-        if rows[0][3] != rows[0][4] and len(np.unique(sides)) < 2:
-            return []
+        if len(members) < 2 or rows[0][3] != rows[0][4] and len(np.unique(sides)) < 2:
+            return [], pairs
+        sets = [shingles(r[10], words) for r in members]
         copies = np.array([r[8] for r in members], np.int64)
-        allowed = None
-        if kind == 1:  # a pair counts in the first trie in which it shares a node
-            nodes = np.array([trie_nodes(s, depth, trees) for s in sets])
-            tree = int(np.flatnonzero(nodes[0] == key)[0])
-            allowed = lambda i, j: ~(nodes[j, :tree] == nodes[i, :tree]).any(1)
+        labels = np.stack([unpacked(r[9]) for r in members])
+
+        def allowed(i: int, j: np.ndarray) -> np.ndarray:
+            same = labels[j] == labels[i]
+            met = same[:, :, :depth].all(2)
+            new = met.any(1) if kind == 0 else met.argmax(1) == sub  # in nodes, a pair counts in the first tree in which it shares one
+            return new if before > DEEPEST else new & ~same[:, :, :before].all(2).any(1)
+
         parent, linked = list(range(len(members))), np.zeros(len(members), np.int64)
 
         def root(x: int) -> int:
@@ -180,33 +258,42 @@ def _verifier(similarity: float, words: int, depth: int, trees: int):
                 x = parent[x]
             return x
 
-        for i, j in verify(sets, sides, similarity, allowed):
+        for i, j, alike in verify(sets, sides, similarity, allowed):
             linked[i] = copies[j].sum()
+            pairs += np.bincount((alike[j > i] * BUCKETS).astype(np.int64), minlength=BUCKETS + 1)
             for x in j.tolist():
                 a, b = root(i), root(x)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        return [(r[6], r[7], int(n), *members[root(i)][6:8]) for i, (r, n) in enumerate(zip(members, linked, strict=True)) if n]
+        return [(r[6], r[7], int(n), *members[root(i)][6:8]) for i, (r, n) in enumerate(zip(members, linked, strict=True)) if n], pairs
 
-    names = ["kind", "key", "sub", "lo", "hi", "side", "d", "h", "copies", "text"]
+    names = ["kind", "key", "sub", "lo", "hi", "side", "d", "h", "copies", "labels", "text"]
+    types = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        seen = np.zeros(BUCKETS + 1, np.int64)
 
         def table(out: list[tuple]) -> Iterator[pa.RecordBatch]:
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["d", "h", "linked", "root", "root_h"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in LINKS.split(", ")])
+
+        def settle(rows: list[tuple]) -> list[tuple]:
+            links, pairs = unit(rows)
+            seen[:] += pairs
+            return [(*x, None, None) for x in links]
 
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if held and held[0][:5] != row[:5]:
-                    out += unit(held)
+                    out += settle(held)
                     held = []
                 held.append(row)
             yield from table(out)
         if held:
-            yield from table(unit(held))
+            yield from table(settle(held))
+        yield from table([(None,) * 5 + (int(b), int(seen[b])) for b in np.flatnonzero(seen)])
 
     return run
 
@@ -217,25 +304,34 @@ def names_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62)) - F.pmod(h, F.lit(1 << 61))), h
 
 
-def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, trees: int = TREES, target: float = TARGET) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text) as doc_id, d, h, rep_id (least d with an equal set), class_id and class_h (the document of the least d, then h, reachable over links) and n_links (rows it is similar to)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    folder, depth = work_dir(spark, "ngrams"), prefix_depth(similarity, trees, DEEPEST, target)
-    d, h = names_of(docs)
-    named = docs.select(d.alias("d"), h.alias("h"), "text")
-    one = F.struct("d", "h")  # a doc_id alone may name several texts
-    sketches = materialize(named.mapInArrow(_sketcher(depth, words, trees), SKETCH), f"{folder}/sketches")
-    classes = sketches.filter("n > 0").groupBy("set_hash").agg(F.min(F.struct("d", "h")).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
-    classes = materialize(classes.select("set_hash", "rep.d", "rep.h", "copies", "n", "nodes"), f"{folder}/classes")
+def _prefix(depth: int) -> list[Column]:
+    """The columns that tell a node of ``depth`` in its tree."""
+    if depth > DEEPEST // 2:
+        return [F.col("hi"), F.shiftright("lo", 16 * (DEEPEST - depth))]
+    return [F.shiftright("hi", 16 * (DEEPEST // 2 - depth))]
+
+
+def forest(classes: DataFrame, floor: int, folder: str) -> DataFrame:
+    """The sorted tries of ``classes`` (d, h, labels) as a written table TRIE of the labels that match another one down to the floor."""
+    spread = classes.select("d", "h", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("labels") - 2, F.lit(2)), lambda i: F.struct(F.get("labels", i).alias("hi"), F.get("labels", i + 1).alias("lo")))).alias("tree", "label"))
+    spread = spread.select("tree", "label.hi", "label.lo", "d", "h")
+    order = ["tree", "hi", "lo", "d", "h"]
+    trie = spread.repartitionByRange(partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
+    return materialize(trie.mapInArrow(_matcher(floor), TRIE), f"{folder}/trie")
 
-    spread = classes.select("d", "h", F.explode("nodes").alias("node"))
-    nodes = materialize(spread.groupBy("node").agg(F.count("*").alias("k"), F.min(one).alias("m")).filter("k > 1").select("node", "k", F.col("k").alias("size"), "m"), f"{folder}/nodes")
-    met = materialize(join_unique(spread, nodes, "node", "k", F.col("d")).filter("m is not null"), f"{folder}/met")
+
+def _match(trie: DataFrame, sizes: DataFrame, texts: DataFrame, depth: int, before: int, similarity: float, words: int, folder: str) -> DataFrame | None:
+    """The links of the pairs that match at ``depth`` and did not ``before``, as a written table LINKS; None without candidates."""
+    one = F.struct("d", "h")  # a doc_id alone may name several texts
+    spread = trie.filter(F.col("matched") >= depth).select("d", "h", "tree", F.xxhash64("tree", *_prefix(depth)).alias("node"), (F.xxhash64("tree", *_prefix(before)) if before <= DEEPEST else F.xxhash64("d", "h")).alias("child"))
+    nodes = spread.groupBy("node").agg(F.count("*").alias("k"), F.min(one).alias("m"), F.min("child").alias("low"), F.max("child").alias("high"))
+    nodes = materialize(nodes.filter("k > 1 and low <> high").select("node", "k", F.col("k").alias("size"), "m"), f"{folder}/nodes")
+    if nodes.isEmpty():
+        return None
+    met = materialize(join_unique(spread.drop("child"), nodes, "node", "k", F.col("d")).filter("m is not null"), f"{folder}/met")
     parts = materialize(connected_components(met.select(F.col("m").alias("src"), one.alias("dst")).distinct()), f"{folder}/parts")
 
-    sized = classes.join(parts.select("node.d", "node.h", "component"), ["d", "h"]).select("d", "h", "copies", "n", "component")
-    sized = materialize(sized, f"{folder}/sized")
+    sized = materialize(sizes.join(parts.select("node.d", "node.h", "component"), ["d", "h"]), f"{folder}/sized")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     whole = sized.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
     whole = whole.select("component", "rows", F.when((F.col("rows") <= WHOLE_ROWS) & (F.col("weight") <= BLOCK_SHINGLES), 1).otherwise(blocks).alias("b"), (F.col("weight") / F.col("rows")).alias("mean"))
@@ -247,19 +343,48 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int
     by_nodes = per_node.groupBy("component").agg(F.sum("nb").alias("cost"))
     mode = whole.join(by_nodes, "component", "left").select("component", F.col("rows").alias("k"), (F.coalesce("cost", F.col("rows") * F.col("b")) < F.col("rows") * F.col("b")).alias("by_node"))
     chosen = materialize(join_unique(placed, materialize(mode, f"{folder}/mode"), "component", "k", F.col("d")), f"{folder}/chosen")
-    of_part = chosen.filter("not by_node").select("d", "h", "copies", F.lit(0).alias("kind"), F.col("component.d").alias("key"), F.col("component.h").alias("sub"), "b")
-    picked = chosen.filter("by_node").select("d", "h", "copies", "component")
-    of_nodes = met.join(picked, ["d", "h"]).select("d", "h", "copies", F.lit(1).alias("kind"), F.col("node").alias("key"), F.lit(0).cast("long").alias("sub"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int").alias("b"))
-    asked = of_part.unionByName(of_nodes).groupBy("d", "h").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("kind", "key", "sub", "b")).alias("units"))
-    asked = materialize(asked, f"{folder}/asked")
+    of_part = chosen.filter("not by_node").select("d", "h", F.lit(0).alias("kind"), F.col("component.d").alias("key"), F.col("component.h").alias("sub"), "b")
+    picked = chosen.filter("by_node").select("d", "h", "mean")
+    of_nodes = met.join(picked, ["d", "h"]).select("d", "h", F.lit(1).alias("kind"), F.col("node").alias("key"), F.col("tree").cast("long").alias("sub"), F.greatest(F.lit(1), of_node).alias("b"))
+    asked = of_part.unionByName(of_nodes).groupBy("d", "h").agg(F.collect_list(F.struct("kind", "key", "sub", "b")).alias("units"))  # a unit per tree at most
 
-    read = named.join(asked.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "copies", "text", F.explode("units").alias("u")).select("d", "h", "copies", "text", "u.kind", "u.key", "u.sub", "u.b")
+    read = texts.join(asked, ["d", "h"]).select("d", "h", "copies", "labels", "text", F.explode("units").alias("u")).select("d", "h", "copies", "labels", "text", "u.kind", "u.key", "u.sub", "u.b")
     side = F.pmod(F.xxhash64("d", "h"), F.col("b")).cast("int")
     read = read.select("*", side.alias("side")).select("*", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other"))
-    read = read.select("kind", "key", "sub", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "d", "h", "copies", "text")
+    read = read.select("kind", "key", "sub", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "d", "h", "copies", "labels", "text")
     unit = ["kind", "key", "sub", "lo", "hi"]
-    ranged = read.repartitionByRange(partitions(spark), *unit).sortWithinPartitions(*unit)
-    found = materialize(ranged.mapInArrow(_verifier(similarity, words, depth, trees), LINKS), f"{folder}/links")
+    ranged = read.repartitionByRange(partitions(read.sparkSession), *unit).sortWithinPartitions(*unit)
+    return materialize(ranged.mapInArrow(_verifier(similarity, words, depth, before), LINKS), f"{folder}/links")
+
+
+def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, trees: int = TREES, target: float = TARGET) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text) as doc_id, d, h, rep_id (least d with an equal set), class_id and class_h (the document of the least d, then h, reachable over links) and n_links (rows it is similar to)."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    folder, floor = work_dir(spark, "ngrams"), prefix_depth(similarity, trees, DEEPEST, target)
+    d, h = names_of(docs)
+    named = docs.select(d.alias("d"), h.alias("h"), "text")
+    one = F.struct("d", "h")
+    sketches = materialize(named.mapInArrow(_sketcher(words, trees), SKETCH), f"{folder}/sketches")
+    classes = sketches.filter("n > 0").groupBy("set_hash").agg(F.min(one).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
+    classes = materialize(classes.select("set_hash", "rep.d", "rep.h", "copies", "n", "labels"), f"{folder}/classes")
+    trie = forest(classes, floor, folder)
+    members = trie.select("d", "h").distinct()
+    sizes = materialize(classes.join(members, ["d", "h"]).select("d", "h", "n", "copies", "labels"), f"{folder}/sizes")
+    # once for all depths; a repeated row is the same text, and goes before the shuffle
+    texts = materialize(named.dropDuplicates(["d", "h"]).join(sizes.select("d", "h", "copies", "labels"), ["d", "h"]), f"{folder}/texts")
+
+    found, pairs, depth, before = spark.createDataFrame([], LINKS), {}, DEEPEST, DEEPEST + 1
+    while True:
+        links = _match(trie, sizes.select("d", "h", "n"), texts, depth, before, similarity, words, f"{folder}/depth{depth}")
+        if links is not None:
+            found = found.unionByName(links.filter("bucket is null"))
+            for r in links.filter("bucket is not null").groupBy("bucket").agg(F.sum("pairs").alias("n")).collect():  # a row per bucket
+                pairs[r["bucket"]] = pairs.get(r["bucket"], 0) + r["n"]
+        shorter = next_depth(pairs, depth, similarity, trees, target, floor)
+        if shorter >= depth:
+            break
+        depth, before = shorter, depth
 
     linked = found.groupBy("d", "h").agg(F.sum("linked").alias("linked"))
     joined = materialize(connected_components(found.select(F.struct(F.col("root").alias("d"), F.col("root_h").alias("h")).alias("src"), one.alias("dst")).distinct()), f"{folder}/joined")
@@ -278,4 +403,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     kept = materialize(classes.filter("d = class_id and h = class_h").select(F.col("d").alias("_d"), F.col("h").alias("_h")).distinct(), work_dir(docs.sparkSession, "kept"))
     rows, inner = shielded(docs)
     d, h = names_of(rows, inner["doc_id"], inner["text"])
-    return rows.withColumns({"_d": d, "_h": h}).join(kept.hint("shuffle_hash"), ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*[F.col(i).alias(c) for c, i in inner.items()])
+    return rows.withColumns({"_d": d, "_h": h}).dropDuplicates(["_d", "_h"]).join(kept, ["_d", "_h"], "left_semi").select(*[F.col(i).alias(c) for c, i in inner.items()])

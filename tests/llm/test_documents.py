@@ -173,6 +173,47 @@ def test_prefix_depth_reaches_the_target():
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.TARGET > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
+def test_depth_follows_what_was_found():
+    ask = lambda found, depth=8: ngram_join.next_depth(found, depth, 0.8, 24, 0.99999, 4)
+    assert ask({}) == 4 and ask({1000: 5}) == 4 and ask({1000: 100}) == 6  # little is known
+    assert ask({980: 10**7}) == 8 and ask({900: 10**6}) == 8 and ask({850: 10**6}) == 5 and ask({800: 10**6}) == 4
+    assert ask({800: 100, 900: 10**7}) == 8 and ask({850: 10**6}, 5) == 5
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_tries_against_brute_force(spark, monkeypatch, parts):
+    """Every label's deepest match is the longest prefix that it shares with any other of its tree; a partition's ends may say more."""
+    r = random.Random(parts)
+    labels = [[[r.randrange(3) for _ in range(8)] for _ in range(2)] for _ in range(120)]
+    rows = [(i, -i, ngram_join.packed(np.array(x, np.uint16)).tolist()) for i, x in enumerate(labels)]
+    assert ngram_join.unpacked(rows[7][2]).tolist() == labels[7]
+    monkeypatch.setattr(ngram_join, "partitions", lambda _: parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    out = {(x.d, x.tree): x.matched for x in ngram_join.forest(spark.createDataFrame(rows, "d long, h long, labels array<long>"), 4, f"/tmp/lintharbor-trie-{parts}-{r.random()}").collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    common = lambda a, b: next((k for k in range(8) if a[k] != b[k]), 8)
+    deepest = {(i, t): max(common(labels[i][t], labels[j][t]) for j in range(120) if j != i) for i in range(120) for t in range(2)}
+    assert all(out[k] >= v for k, v in deepest.items() if v >= 4)
+    assert sum(out.get(k, v) != v for k, v in deepest.items()) <= 2 * parts
+
+
+def test_recall_of_links(spark):
+    """Links between random texts at all similarities from 0.8 on, some right at it."""
+    r, rows = random.Random(12), []
+    for g in range(40):
+        base = prose(3000 + g, 100, 5000).split()
+        for i in range(8):
+            w = list(base)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(100)] = f"z{r.randrange(10**6)}"
+            rows.append((g * 8 + i, " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    alike = [len(a & b) / len(a | b) for g in range(40) for i, a in enumerate(sets[8 * g : 8 * g + 8]) for b in sets[8 * g : 8 * g + i]]
+    exact = 2 * sum(x >= 0.8 for x in alike)
+    found = sum(x.n_links for x in ngram_join.similar_classes(spark.createDataFrame(rows, DOCS)).collect())
+    assert sum(0.8 <= x < 0.85 for x in alike) > 100 and 0.999 * exact <= found <= exact
+
+
 # 6 token counts
 
 

@@ -63,7 +63,7 @@ def lengths(texts: list[str | None], tokenizer, batch_bytes: int = BATCH_BYTES)
         for piece in pieces(text) if text else ():
             batch.append(piece)
             owners.append(i)
-            size += len(piece)
+            size += len(piece.encode("utf-8", "surrogatepass"))
             if size >= batch_bytes:
                 flush()
                 batch, owners, size = [], [], 0

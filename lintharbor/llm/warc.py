@@ -28,6 +28,16 @@ INDEX = "page_id long, warc_file string, warc_offset long, warc_length long, url
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 #: Bytes: a file is closed beyond the first; ranges no further apart than the second are read together, up to the third.
 FILE_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 64 << 10, 4 << 20
+#: Records of a batch of results.
+ROWS = 4096
+#: Hadoop's names of stores that Arrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path of a folder that Hadoop names."""
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -68,7 +78,7 @@ def parse_record(raw: bytes) -> tuple:
 
 def _writer(folder: str, file_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = store_of(folder)
         store.create_dir(base, recursive=True)
         part, out, name, at, n = TaskContext.get().partitionId(), None, "", 0, 0
         for batch in batches:
@@ -114,16 +124,22 @@ def _reader(folder: str, gap: int, most: int, with_payload: bool):
     types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = store_of(folder)
         name, file, run = None, None, []
 
         def fetch() -> Iterator[pa.RecordBatch]:
             start = run[0][0]
             file.seek(start)
             data = file.read(run[-1][0] + run[-1][1] - start)
-            rows = [parse_record(zlib.decompress(data[o - start : o - start + n], 31)) for o, n in run]
-            rows = [(*r[:6], r[6].decode("utf-8", "surrogatepass") if with_payload and r[6] is not None else None) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+            rows, size = [], 0
+            for i, (o, n) in enumerate(run):  # one record is inflated at a time, and results are bounded by what was inflated
+                raw = zlib.decompress(data[o - start : o - start + n], 31)
+                r = parse_record(raw)
+                rows.append((*r[:6], r[6].decode("utf-8", "surrogatepass") if with_payload and r[6] is not None else None))
+                size += len(raw) if with_payload else 0
+                if size >= most or i == len(run) - 1 or len(rows) >= ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+                    rows, size = [], 0
 
         for batch in batches:
             for of, offset, length in zip(*(batch.column(c).to_pylist() for c in ("warc_file", "warc_offset", "warc_length")), strict=True):

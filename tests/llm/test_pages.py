@@ -66,6 +66,20 @@ def test_selected_records_and_small_files(spark, table, pages):
     assert warc.archive_round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_highly_compressible_payloads_are_read_in_slices(spark):
+    rows = [(i, None, chr(97 + i) * 3_000_000) for i in range(12)]
+    folder = work_dir(spark, "warc-test")
+    index = warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), folder).coalesce(1)
+    parts = index.select("warc_file", "warc_offset", "warc_length").toArrow().to_batches()
+    sizes = [b.nbytes for b in warc._reader(f"{folder}/warc", warc.GAP_BYTES, warc.READ_BYTES, True)(iter(parts))]
+    assert len(sizes) >= 6 and max(sizes) < 8_000_000
+    assert {r.page_id: len(r.payload) for r in warc.read_records(index, folder).collect()} == dict.fromkeys(range(12), 3_000_000)
+
+
+def test_stores_under_hadoops_names(tmp_path):
+    assert warc.store_of(f"file://{tmp_path}")[1] == str(tmp_path) and warc.store_of("s3a://bucket/a?region=us-east-1")[1] == "bucket/a"
+
+
 # 3 HTML
 
 

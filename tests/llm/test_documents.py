@@ -284,6 +284,23 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert spark.read.parquet(ledger.folder).count() == 10
 
 
+@pytest.mark.parametrize("bound", [0, 1, 250_000])
+def test_only_unseen_texts_are_scanned(spark, tmp_path, monkeypatch, bound):
+    """However the unseen texts are told apart, the same ones are scanned, and a second scan reads none."""
+    monkeypatch.setattr(secret_scan, "BROADCAST_BLOBS", bound)
+    rows = [(i, f"{i} secret:" + "ABCDEFGHIJKLMNOP"[: 12 + i % 4]) for i in range(20)] + [(100 + i, "copy") for i in range(5)]
+    ledger, table = secret_scan.Ledger(spark, str(tmp_path / "ledger")), spark.createDataFrame(rows, DOCS)
+    sizes = []
+    for part in (table.filter("doc_id < 3"), table.filter("doc_id < 18"), table, table):
+        out = secret_scan.scan(part, ledger)
+        assert rows_of(out.drop("blob")) == sorted([(d, *secrets(t)) for d, t in map(tuple, part.collect())], key=repr)
+        sizes.append(spark.read.parquet(ledger.folder).count())
+    assert sizes == [3, 18, 21, 21]
+    holders = secret_scan.scan(table, ledger).select("blob", F.col("doc_id").alias("d")).dropDuplicates(["blob"])
+    assert secret_scan._unseen_texts(table, holders, holders.limit(0)).count() == 0
+    assert spark.read.parquet(ledger.folder).select("rule_version").distinct().count() == 1
+
+
 # 8 packing
 
 

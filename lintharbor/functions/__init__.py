@@ -145,10 +145,16 @@ def first_and_last_difference(a: Column, b: Column) -> Column:
     return F.struct(first.cast("int").alias("first"), F.when(back == 0, -1).otherwise(F.size(differ) - back).cast("int").alias("last"))
 
 
-def operand_flags(type1: Column, type2: Column) -> Column:
-    """4: int32, 8: int64, 2: the first operand is constant, 1: the second is."""
+def operand_flags(width: Column, first: Column, second: Column) -> Column:
+    """4: the operands are int32, 8: int64, by the fourth token of a condition's record; 2: the first operand is a constant (anything but ``var``), 1: the second is."""
     bit = lambda cond, v: F.when(cond, v).otherwise(0)
-    return bit((type1 == "int32") | (type2 == "int32"), 4) + bit((type1 == "int64") | (type2 == "int64"), 8) + bit(type1.endswith("_const"), 2) + bit(type2.endswith("_const"), 1)
+    return bit(width == "int32", 4) + bit(width == "int64", 8) + bit(first != "var", 2) + bit(second != "var", 1)
+
+
+def operand_constant(operand: Column) -> Column:
+    """The value of a constant operand: its leading decimal number, 0 without one; null for ``var``."""
+    number = F.regexp_extract(operand, r"^\s*([+-]?\d+)", 1).try_cast("long")
+    return F.when(operand != "var", F.coalesce(number, F.lit(0).cast("long")))
 
 
 INPUT_FILE = r"INPUT_FILE:\s(.+)"

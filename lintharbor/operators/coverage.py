@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import HIT_CAP, hit_bucket, num_equal_bits
+from ..functions import HIT_CAP, MAP_SIZE, hit_bucket, num_equal_bits
 from ..shipping import ship
 from .graph import dense_index
 
@@ -85,40 +85,47 @@ def best_file_per_tuple(trace: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.groupBy("edge", "bucket").agg(F.min(F.struct("len", "exec_id")).alias("m")).select("edge", "bucket", F.col("m.exec_id").alias("seed_id"))
 
 
-def _cover(ordered: DataFrame, columns: str) -> DataFrame:
-    """Fold over (at, seed_id, tuples) in order: a tuple that isn't covered yet takes its seed, whose whole trace is covered then.
+def _cover(winners: DataFrame, sets: DataFrame) -> DataFrame:
+    """winners (seed_id, at, text, own) and sets (seed_id, tuples): a fold over the winners in order of ``at`` and ``text``: a tuple ``own`` that isn't covered yet takes its seed, whose whole trace is covered then.
 
-    The input is bounded before: a row for each edge of the map, or for each tuple, that has a winner."""
+    The fold is sequential by nature. It gets a row per winning seed, with its set once, and there is at most a winner for each edge of the map, or for each tuple."""
+    rows = winners.groupBy("seed_id").agg(F.collect_list(F.struct("at", "text", "own")).alias("wins")).join(sets, "seed_id").select("seed_id", "wins", "tuples")
 
     def fold(pdf):
         import pandas as pd
 
-        covered, rows = set(), []
-        for own, seed, tuples in pdf.sort_values("at")[["own", "seed_id", "tuples"]].itertuples(index=False):
+        order = sorted((win["at"], win["text"], win["own"], i) for i, wins in enumerate(pdf["wins"]) for win in wins)
+        seeds, sets_, covered, picked = pdf["seed_id"].tolist(), pdf["tuples"].tolist(), set(), {}
+        for _, _, own, i in order:
             if own not in covered:
-                rows.append((int(seed), len(rows)))
-                covered.update(tuples)
-        return pd.DataFrame(rows, columns=["seed_id", "pick"]).drop_duplicates("seed_id")
+                picked.setdefault(seeds[i], len(picked))
+                covered.update(sets_[i].tolist())
+        return pd.DataFrame({"seed_id": list(picked), "pick": list(picked.values())}, dtype="int64")
 
-    ship(ordered.sparkSession)
-    return ordered.groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: fold(pdf), "seed_id long, pick int")
+    ship(winners.sparkSession)
+    return rows.groupBy(F.lit(0).alias("g")).applyInPandas(lambda pdf: fold(pdf), "seed_id long, pick int")
 
 
 def greedy_edge_cover(trace: DataFrame, seeds: DataFrame) -> DataFrame:
     """The favoured seeds: edges ascending, each uncovered edge takes its winner with all its edges: (seed_id, pick)."""
-    winners = edge_winners(trace, seeds).select("edge", "seed_id")
-    edges = trace.filter("cnt > 0").select(F.col("exec_id").alias("seed_id"), "edge").join(winners.select("seed_id").distinct(), "seed_id", "left_semi")
-    sets = edges.groupBy("seed_id").agg(F.collect_set("edge").alias("tuples"))
-    return _cover(winners.join(sets, "seed_id").select(F.col("edge").alias("at"), F.col("edge").alias("own"), "seed_id", "tuples"), "edge")
+    winners = edge_winners(trace, seeds).select("seed_id", F.col("edge").cast("long").alias("at"), F.lit("").alias("text"), F.col("edge").cast("long").alias("own"))
+    edges = trace.filter("cnt > 0").select(F.col("exec_id").alias("seed_id"), F.col("edge").cast("long").alias("edge")).join(winners.select("seed_id").distinct(), "seed_id", "left_semi")
+    return _cover(winners, edges.groupBy("seed_id").agg(F.collect_set("edge").alias("tuples")))
 
 
 def greedy_file_cover(trace: DataFrame, seeds: DataFrame) -> DataFrame:
-    """A small corpus that keeps all (edge, class): the rarest first, each uncovered one takes its smallest file: (seed_id, pick)."""
-    name = F.concat(F.col("bucket").cast("string"), F.lit(":"), F.col("edge").cast("string"))
-    rare = tuple_frequency(trace).join(best_file_per_tuple(trace, seeds), ["edge", "bucket"]).withColumn("own", name)
-    at = F.row_number().over(Window.orderBy("n", "own"))
-    sets = classified(trace).select(F.col("exec_id").alias("seed_id"), name.alias("t")).join(rare.select("seed_id").distinct(), "seed_id", "left_semi").groupBy("seed_id").agg(F.collect_set("t").alias("tuples"))
-    return _cover(rare.withColumn("at", at).join(sets, "seed_id").select("at", "own", "seed_id", "tuples"), "tuple")
+    """A small corpus that keeps all (edge, class): the rarest first, of equal ones by the text of class and edge, each uncovered one takes its smallest file: (seed_id, pick)."""
+    code = lambda: F.col("bucket").cast("long") * (1 << 32) + F.col("edge")
+    rare = tuple_frequency(trace).join(best_file_per_tuple(trace, seeds), ["edge", "bucket"])
+    winners = rare.select("seed_id", F.col("n").alias("at"), F.concat(F.col("bucket").cast("string"), F.col("edge").cast("string")).alias("text"), code().alias("own"))
+    mine = classified(trace).select(F.col("exec_id").alias("seed_id"), code().alias("t")).join(winners.select("seed_id").distinct(), "seed_id", "left_semi")
+    return _cover(winners, mine.groupBy("seed_id").agg(F.collect_set("t").alias("tuples")))
+
+
+def presence_bitmap(trace: DataFrame) -> DataFrame:
+    """Per execution the edges hit, as a sparse bitmap of longs: (exec_id, word, bits), 64 edges a word."""
+    rows = trace.filter("cnt > 0").select("exec_id", F.floor(F.col("edge") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(edge, 64) as int))").alias("bit"))
+    return rows.groupBy("exec_id", "word").agg(F.bit_or("bit").alias("bits"))
 
 
 def variable_edges(runs: DataFrame) -> DataFrame:
@@ -141,7 +148,7 @@ def calibration_means(calibrated: DataFrame) -> DataFrame:
     return calibrated.agg(F.expr("sum(exec_us * n_runs) div sum(n_runs)").alias("mean_us"), F.expr("sum(bitmap_size) div count(*)").alias("mean_bitmap"))
 
 
-def stability(trace: DataFrame, variable: DataFrame, map_size: int) -> DataFrame:
+def stability(trace: DataFrame, variable: DataFrame, map_size: int = MAP_SIZE) -> DataFrame:
     """Coverage of the map and stability in percent, one row."""
     covered = trace.filter("cnt > 0").agg(F.countDistinct("edge").alias("covered"))
     moving = variable.agg(F.countDistinct("edge").alias("variable"))
@@ -174,10 +181,24 @@ def hit_counts(rows: DataFrame, key: str, rare_below: int) -> DataFrame:
     return rows.groupBy(key).agg(n.alias("hits")).withColumn("rare", F.col("hits") < rare_below)
 
 
-def directed_favourites(winners: DataFrame, block_hits: DataFrame, solved: DataFrame, holders: DataFrame, most_hits: int) -> DataFrame:
-    """Winners of critical blocks that are neither solved nor hit too often, and the holders of conformance records: (seed_id)."""
+def directed_favourites(winners: DataFrame, block_hits: DataFrame, solved: DataFrame, holders: DataFrame, most_hits: int, outcomes: DataFrame | None = None, rare: DataFrame | None = None) -> DataFrame:
+    """(seed_id): the seeds that reach a rare target (rare: seed_id), winners of critical blocks that are neither solved nor hit too often, and the holders (cnd_id, exec_id)
+    of the records of conditions that haven't had both outcomes yet (outcomes: cnd_id, outcomes, 3 for both)."""
     open_ = winners.join(solved.select("block").distinct(), "block", "left_anti").join(block_hits, "block", "left").filter(F.coalesce("hits", F.lit(0)) < most_hits)
-    return open_.select("seed_id").unionByName(holders.select(F.col("exec_id").alias("seed_id"))).distinct()
+    if outcomes is not None:
+        holders = holders.join(outcomes.filter("outcomes >= 3").select("cnd_id"), "cnd_id", "left_anti")
+    out = open_.select("seed_id").unionByName(holders.select(F.col("exec_id").alias("seed_id")))
+    return (out if rare is None else out.unionByName(rare.select("seed_id"))).distinct()
+
+
+#: How many unique crashes and hangs a campaign keeps.
+MOST_CRASHES, MOST_HANGS = 5000, 500
+
+
+def unique_crashes(trace: DataFrame, on_target: DataFrame, most: int = MOST_CRASHES) -> DataFrame:
+    """The crashes that a campaign keeps: of those that hit a target (exec_id) the first ``most`` whose simplified trace is new among them: (exec_id)."""
+    gated = trace.join(on_target.select("exec_id").distinct(), "exec_id", "left_semi")
+    return first_kept(crash_novelty(gated).filter(F.col("unique") == 1).select("exec_id"), most)
 
 
 def kept(novelties: DataFrame, records: DataFrame) -> DataFrame:

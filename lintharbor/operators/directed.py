@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import MOST_FACTOR, MOST_SCORE, cooling, dist_factor, next_p2, scale
 from ..shipping import ship
+from .graph import dense_index
 
 ACTIVE, PAUSED, FINISHED = "active", "paused", "finished"
 
@@ -42,8 +43,35 @@ def distance_bounds(distances: DataFrame, cycle: str = "cycle") -> DataFrame:
 
 
 def queue_order(seeds: DataFrame) -> DataFrame:
-    """The queue as a total order: favoured first, known distances before unknown ones, nearer first, then by arrival."""
-    return seeds.orderBy(F.desc("favored"), F.col("distance") == -1, "distance", "seed_id")
+    """The queue as a total order, the seeds' ``rank`` from 1: favoured first, known distances before unknown ones, nearer first, then by arrival."""
+    keyed = seeds.withColumns({"_plain": ~F.col("favored"), "_unknown": F.col("distance") == -1})
+    return dense_index(keyed, ["_plain", "_unknown", "distance", "seed_id"], "rank").withColumn("rank", F.col("rank") + 1).drop("_plain", "_unknown")
+
+
+def rare_target_seeds(hits: DataFrame, targets: DataFrame) -> DataFrame:
+    """The seeds (seed_id) of hits (seed_id, target_id) that reach a target (target_id, state) which is active."""
+    return hits.join(targets.filter(F.col("state") == ACTIVE).select("target_id"), "target_id", "left_semi").select("seed_id").distinct()
+
+
+def conditions_of(blocks: DataFrame, conditions: DataFrame) -> DataFrame:
+    """Each critical block (block) with its condition (cnd_id), 0 for none; of a block's records (cbb_id, cnd_id, ordinal) the last one counts."""
+    last = conditions.filter("cbb_id is not null").groupBy("cbb_id").agg(F.max_by("cnd_id", "ordinal").alias("cnd_id"))
+    return blocks.select("block").join(last.withColumnRenamed("cbb_id", "block"), "block", "left").select("block", F.coalesce("cnd_id", F.lit(0)).alias("cnd_id"))
+
+
+def append_to_queue(queue: DataFrame, found: DataFrame) -> DataFrame:
+    """``queue`` (seed_id, depth, len, n_fuzz, is_target, ...) and what was found (src, len, is_target, at, ...), numbered on in order of ``at``, one deeper than the seeds they come from.
+
+    A source that isn't in the queue is at depth 0. Columns that only the queue has are null in new seeds."""
+    top = queue.agg(F.coalesce(F.max("seed_id"), F.lit(-1)).alias("_top"))  # one row
+    new = dense_index(found, ["at", "src"], "_nth").join(queue.select(F.col("seed_id").alias("src"), F.col("depth").alias("_depth")), "src", "left").crossJoin(F.broadcast(top))
+    new = new.select((F.col("_top") + 1 + F.col("_nth")).alias("seed_id"), (F.coalesce("_depth", F.lit(0)) + 1).cast("int").alias("depth"), "len", F.lit(1).cast("long").alias("n_fuzz"), "is_target")
+    return queue.unionByName(new, allowMissingColumns=True)
+
+
+def queue_counters(queue: DataFrame) -> DataFrame:
+    """One row: queued_paths, pending_not_fuzzed and max_depth of a queue (depth, was_fuzzed)."""
+    return queue.agg(F.count("*").alias("queued_paths"), F.count_if(~F.coalesce("was_fuzzed", F.lit(False))).alias("pending_not_fuzzed"), F.max("depth").alias("max_depth"))
 
 
 def power_schedule(seeds: DataFrame, min_distance: float, max_distance: float, progress: float, schedule: str = "exp", directed: bool = True, fast: bool = False) -> DataFrame:
@@ -164,14 +192,30 @@ def target_state_machine(cycles: DataFrame, targets: DataFrame, threshold: float
 
 def state_tallies(states: DataFrame) -> DataFrame:
     """Per campaign and cycle the number of targets in each state and of those ever hit."""
-    return states.groupBy("campaign", "cycle").agg(*[F.count_if(F.col("state") == s).alias(s) for s in (ACTIVE, PAUSED, FINISHED)], F.count_if("execs > 0").alias("hit"))
+    return states.groupBy("campaign", "cycle").agg(*[F.count_if(F.col("state") == s).alias(s) for s in (ACTIVE, PAUSED, FINISHED)], F.count_if(F.col("execs") > 0).alias("hit"))
+
+
+def skip_probability(seeds: DataFrame, cycle_count: int = 2, explore: bool = True) -> DataFrame:
+    """The chance that a seed is passed over, in percent, as a column instead of a draw. A dead seed (is_dead, where there is such a column) always is, and no other outside of exploration.
+
+    With favoured ones pending in the campaign, 99 if fuzzed before or not favoured. Else, in a queue of over ten, for one that isn't favoured: 75 if it is new and a cycle is over, 95 otherwise."""
+    per = seeds.groupBy("campaign").agg(F.max(F.col("favored") & ~F.col("was_fuzzed")).alias("_pending"), F.count("*").alias("_queued"))
+    dead = F.col("is_dead") if "is_dead" in seeds.columns else F.lit(False)
+    percent = F.when(dead, 100).when(~F.lit(explore), 0).when(F.col("_pending"), F.when(F.col("was_fuzzed") | ~F.col("favored"), 99).otherwise(0))
+    percent = percent.when(F.col("favored") | (F.col("_queued") <= 10), 0).when(F.lit(cycle_count > 1) & ~F.col("was_fuzzed"), 75).otherwise(95)
+    return seeds.join(per, "campaign").select(*seeds.columns, percent.alias("skip_percent"))
+
 
+def mask_positions(mask: DataFrame, kind: int, size: int = 1) -> DataFrame:
+    """Where an input's mask (input_id, at, flags: bits 1 flip, 2 delete, 4 insert) allows a change of ``kind`` to ``size`` neighbouring bytes: (input_id, at).
 
-def skip_probability(seeds: DataFrame) -> DataFrame:
-    """The chance that a seed is passed over, in percent, as a column instead of a draw: 99 with favoured ones pending, else 95 if fuzzed before, 75 if new."""
-    pending = seeds.groupBy("campaign").agg(F.max(F.col("favored") & ~F.col("was_fuzzed")).alias("_pending"))
-    percent = F.when(F.col("_pending") & (F.col("was_fuzzed") | ~F.col("favored")), 99).when(F.col("favored"), 0).when(F.col("was_fuzzed"), 95).otherwise(75)
-    return seeds.join(pending, "campaign").select(*seeds.columns, percent.alias("skip_percent"))
+    Within each run of allowed places, those from which the change fits into the run."""
+    allowed = mask.filter(F.col("flags").bitwiseAND(kind) != 0).select("input_id", "at")
+    if kind == 4 or size <= 1:
+        return allowed
+    w = Window.partitionBy("input_id").orderBy("at")
+    runs = allowed.withColumn("_run", F.col("at") - F.row_number().over(w))
+    return runs.withColumn("_end", F.max("at").over(Window.partitionBy("input_id", "_run"))).filter(F.col("at") + size - 1 <= F.col("_end")).select("input_id", "at")
 
 
 def needs_sniffing(seeds: DataFrame, open_conditions: DataFrame, most_len: int = 1000) -> DataFrame:

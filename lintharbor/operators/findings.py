@@ -1,7 +1,7 @@
 """Findings: set operations, the reachability filter, and scoring per block or function.
 
-Interval joins are equi-joins: the ranges, which are short, are spread to their lines, so that a plan hashes on (file, line) instead of
-comparing all pairs of a file."""
+Interval joins are equi-joins: ranges are spread to the bins of lines that they touch, small bins for short ranges and large ones for long ranges, so
+that a plan hashes on (file, bin) instead of comparing all pairs of a file, and a range of a million lines is a few hundred rows."""
 
 from __future__ import annotations
 
@@ -42,24 +42,34 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
     return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
 
 
-def spread(ranges: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per line of each range; empty ranges give none."""
-    lines = F.when(F.col(end) >= F.col(start), F.sequence(F.col(start), F.col(end))).otherwise(F.array().cast("array<bigint>"))
-    return ranges.select("*", F.explode(lines).alias("_line"))
+#: Lines of a bin; ranges of so many lines as a large bin go to large bins.
+BINS = (64, 4096)
+
+
+def within(points: DataFrame, ranges: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
+    """Each of ``points`` (keys, line, ...) with every range of ``ranges`` (keys, start, end, ...) that holds its line; a range's own columns follow."""
+    place = lambda x, size: F.floor(x / F.lit(size)).cast("long")
+    level = [F.struct(F.lit(i).alias("level"), place(F.col("line"), size).alias("bin")) for i, size in enumerate(BINS)]
+    left = points.select("*", F.explode(F.array(*level)).alias("_p")).select(*points.columns, F.col("_p.level").alias("_level"), F.col("_p.bin").alias("_bin"))
+    long = F.col(end).cast("long") - F.col(start).cast("long") >= BINS[1]
+    bins = F.when(long, F.sequence(place(F.col(start), BINS[1]), place(F.col(end), BINS[1]))).otherwise(F.sequence(place(F.col(start), BINS[0]), place(F.col(end), BINS[0])))
+    right = ranges.filter(F.col(end) >= F.col(start)).select("*", long.cast("int").alias("_level"), F.explode(bins).alias("_bin"))
+    met = left.join(right, [*keys, "_level", "_bin"]).filter((F.col("line") >= F.col(start)) & (F.col("line") <= F.col(end)))
+    return met.select(*points.columns, *[c for c in ranges.columns if c not in points.columns])
 
 
 def reachable(flags: DataFrame, functions: DataFrame) -> DataFrame:
     """The findings on a line of a function that is reachable from the entry."""
-    lines = spread(functions.filter("reachable").select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), "start", "end")
-    lines = lines.select("file", F.col("_line").cast("int").alias("line"))
-    return flags.join(lines, ["file", "line"], "left_semi").select(*flags.columns)
+    lines = within(flags.select("file", "line").distinct(), functions.filter("reachable").select("file", "start", "end"), "start", "end", ["file"])
+    return flags.join(lines.select("file", "line"), ["file", "line"], "left_semi").select(*flags.columns)
 
 
 def _first_match(flags: DataFrame, ranges: DataFrame, start: str, end: str, order: list[str], keep: list[str]) -> DataFrame:
     """Each distinct (file, line) of the findings with the first range, by ``order``, that holds it, joined back to the findings."""
-    lines = spread(ranges.withColumn(start, F.col(start).cast("long")).withColumn(end, F.col(end).cast("long")), start, end)
-    first = lines.groupBy("file", F.col("_line").cast("int").alias("line")).agg(F.min(F.struct(*order, *[c for c in keep if c not in order])).alias("_m"))
-    return flags.join(first, ["file", "line"]).select(*flags.columns, *[F.col(f"_m.{c}").alias(c) for c in dict.fromkeys([*order, *keep])])
+    names = list(dict.fromkeys([*order, *keep]))
+    met = within(flags.select("file", "line").distinct(), ranges.select("file", *dict.fromkeys([start, end, *names])), start, end, ["file"])
+    first = met.groupBy("file", "line").agg(F.min(F.struct(*names)).alias("_m"))
+    return flags.join(first, ["file", "line"]).select(*flags.columns, *[F.col(f"_m.{c}").alias(c) for c in names])
 
 
 def _with_total(rows: DataFrame, flags: DataFrame) -> DataFrame:
@@ -103,8 +113,7 @@ def group_by_function_blocks(flags: DataFrame, functions: DataFrame, blocks: Dat
     met = _first_match(flags.dropDuplicates(), functions, "start", "end", ["func_ord"], ["loc"])
     counts = met.groupBy("func_ord", "loc").agg(*_counts())
     ranges = blocks.select("func_ord", F.col("block_start").cast("long").alias("block_start"), F.col("block_end").cast("long").alias("block_end"), "block_loc").distinct()
-    lines = spread(ranges, "block_start", "block_end").withColumn("line", F.col("_line").cast("int"))
-    rows = met.drop("loc").join(lines, ["func_ord", "line"]).groupBy("file", "func_ord", "block_start", "block_end", "block_loc").agg(*_names())
+    rows = within(met.drop("loc"), ranges, "block_start", "block_end", ["func_ord"]).groupBy("file", "func_ord", "block_start", "block_end", "block_loc").agg(*_names())
     rows = rows.join(counts, "func_ord")
     return _score(_named(_with_total(rows, flags), F.col("block_start"), "loc"), weights, rounded)
 
@@ -135,7 +144,17 @@ def match_targets(instructions: DataFrame, targets: DataFrame) -> DataFrame:
     return met.groupBy("block_id").agg(F.min(F.struct("ordinal", "target", "line", "score")).alias("m")).select("block_id", F.col("m.target").alias("file"), "m.line", "m.score")
 
 
-def line_statistics(lines: DataFrame) -> DataFrame:
-    """(file, function, block_id, line) -> first and last line and number of distinct lines per block; lines before the function's first are out of scope."""
-    within = lines.join(lines.groupBy("file", "function").agg(F.min("line").alias("_first")), ["file", "function"]).filter("line >= _first and line > 0")
-    return within.groupBy("file", "function", "block_id").agg(F.min("line").alias("start"), F.max("line").alias("end"), F.countDistinct("line").alias("loc"))
+def line_statistics(lines: DataFrame, functions: DataFrame) -> DataFrame:
+    """(file, function, block_id, line) and the functions (file, function, first), with the line at which each is declared -> first and last line and number of distinct lines per block.
+
+    Lines before the function's first are out of scope, and a block of which nothing is left has no row, nor has one of a function that is only declared (without a first line)."""
+    scoped = lines.filter("line > 0").join(functions.select("file", "function", "first"), ["file", "function"]).filter("line >= first")
+    return scoped.groupBy("file", "function", "block_id").agg(F.min("line").alias("start"), F.max("line").alias("end"), F.countDistinct("line").alias("loc"))
+
+
+def shuffled(rows: DataFrame, seed: int, key: str) -> DataFrame:
+    """The rows with a ``rank`` from 1 in an order that the seed determines, ties by key: the same wherever the rows lie."""
+    from .graph import dense_index
+
+    marked = rows.withColumn("_draw", F.xxhash64(F.lit(seed), key))
+    return dense_index(marked, ["_draw", key], "rank").withColumn("rank", F.col("rank") + 1).drop("_draw")

@@ -80,24 +80,49 @@ def critical_blocks(edges: DataFrame, taint: DataFrame) -> DataFrame:
     return marked.join(per.filter("n > 1 and least = 1").select("src"), "src", "left_semi")
 
 
-def block_target_distances(edges: DataFrame, targets: DataFrame, calls: DataFrame, function_cost: DataFrame, mode: str = "parity") -> DataFrame:
+def nearest_callees(calls: DataFrame, function_distance: DataFrame) -> DataFrame:
+    """Of each block that calls (node, callee, and ordinal where calls are ordered), the callee of least distance, of equal ones the first: (node, callee, distance), ten times the function's (node, distance)."""
+    known = function_distance.select(F.col("node").alias("callee"), (F.col("distance") * 10).alias("distance"))
+    order = ["distance", "ordinal", "callee"] if "ordinal" in calls.columns else ["distance", "callee"]
+    return calls.join(known, "callee").groupBy("node").agg(F.min(F.struct(*order)).alias("m")).select("node", "m.callee", "m.distance")
+
+
+def block_distances(edges: DataFrame, targets: DataFrame, nearest: DataFrame) -> DataFrame:
+    """Harmonic distance of blocks within their function's graph: (node, distance).
+
+    A target (node) is at 0 and a call block at its nearest callee's distance (see ``nearest_callees``); another block that reaches some of these is at 1 / sum(1 / (hops + distance))."""
+    given = nearest.join(targets.select("node"), "node", "left_anti").select("node", F.col("distance").cast("double").alias("distance")).unionByName(targets.select("node", F.lit(0.0).alias("distance")).distinct())
+    hops = distances(edges, given.select(F.col("node").alias("source"), "node"), backward=True).join(given.select("node"), "node", "left_anti")
+    far = hops.join(given.toDF("source", "base"), "source").groupBy("node").agg((1 / F.sum(1 / (F.col("dist") + F.col("base")))).alias("distance"))
+    return given.unionByName(far)
+
+
+def block_target_distances(edges: DataFrame, targets: DataFrame, calls: DataFrame, function_cost: DataFrame, mode: str = "parity", function_distance: DataFrame | None = None) -> DataFrame:
     """Distance of blocks to targets within their function's graph, and over call blocks: (node, target, dist).
 
-    targets: (target, node). calls: (node, callee); function_cost: (source, node, cost) of the callees. With ``parity`` a block that reaches
-    a target through a call only has the call block as its column; with ``composed`` the callee's cost is added and the target kept."""
-    own = distances(edges, targets.select(F.col("target").alias("source"), "node"), backward=True).select("node", F.col("source").alias("target"), "dist")
+    targets: (target, node). calls: (node, callee); function_cost: (source, node, cost), the distances of the callees to targets. With ``parity`` a call block has
+    the distances of its nearest callee, by function_distance (node, distance) or else by the harmonic mean of the costs, a target without calls has itself at 0, and any other block that
+    reaches one of these has it as a column, a call block under ``call:`` and its number. With ``composed`` the callee's cost is added and the target kept."""
     costs = function_cost.select(F.col("node").alias("callee"), F.col("source").alias("target"), "cost")
     if mode == "composed":
+        own = distances(edges, targets.select(F.col("target").alias("source"), "node"), backward=True).select("node", F.col("source").alias("target"), "dist")
         through = calls.join(costs, "callee").groupBy("node", "target").agg(F.min("cost").alias("cost"))
         hops = distances(edges, through.select(F.col("node").alias("source"), "node").distinct(), backward=True)
         far = hops.join(through.withColumnRenamed("node", "source"), "source").select("node", "target", (F.col("dist") + F.col("cost")).alias("dist"))
+        rows = own.unionByName(far)
     elif mode == "parity":
-        best = calls.join(costs, "callee").select("node").distinct()
-        far = distances(edges, best.select(F.col("node").alias("source"), "node"), backward=True).select("node", F.concat(F.lit("call:"), F.col("source").cast("string")).alias("target"), "dist")
-        own = own.withColumn("target", F.col("target").cast("string"))
+        if function_distance is None:
+            function_distance = harmonic(function_cost, ["node"], "cost")
+        nearest = nearest_callees(calls, function_distance)
+        plain = targets.select(F.col("target").cast("string").alias("target"), "node").join(nearest.select("node"), "node", "left_anti")
+        called = nearest.join(costs, "callee").select("node", F.col("target").cast("string").alias("target"), F.col("cost").cast("double").alias("dist"))
+        names = plain.select("node", "target").unionByName(nearest.select("node", F.concat(F.lit("call:"), F.col("node").cast("string")).alias("target")))
+        hops = distances(edges, names.select(F.col("node").alias("source"), "node").distinct(), backward=True).join(names.select("node").distinct(), "node", "left_anti")
+        far = hops.join(names.select(F.col("node").alias("source"), "target"), "source").select("node", "target", F.col("dist").cast("double").alias("dist"))
+        rows = far.unionByName(called).unionByName(plain.select("node", "target", F.lit(0.0).alias("dist")))
     else:
         raise ValueError(f"no mode {mode!r}")
-    return own.unionByName(far).groupBy("node", "target").agg(F.min("dist").alias("dist"))
+    return rows.groupBy("node", "target").agg(F.min("dist").alias("dist"))
 
 
 def dense_index(nodes: DataFrame, order: list[str], name: str = "index") -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import FRAME_FULL, decode_trace, operand_flags  # noqa: F401
+from ..functions import decode_trace, operand_constant, operand_flags
 from ..operators.crashes import parse_reports
 
 MOST_INPUT_BYTES = 1 << 20
@@ -41,15 +41,20 @@ def read_targets(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_inspection(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.schema(schema.INSPECTION).option("multiLine", True).json(list(paths))
+    """The documents, each with its path as ``document``."""
+    return spark.read.schema(schema.INSPECTION).option("multiLine", True).json(list(paths)).select("*", F.col("_metadata.file_path").alias("document"))
 
 
 def functions_of(inspection: DataFrame) -> DataFrame:
-    """One row per function, in document order. Of functions with the same file and name the last one's values count, in the first one's place."""
-    rows = inspection.select(F.posexplode("functions").alias("func_ord", "f"))
-    rows = rows.select("func_ord", F.col("f.location.filename").alias("file"), F.col("f.name").alias("name"), F.col("f.location.line.start").alias("start"), F.col("f.location.line.end").alias("end"), F.col("f.LoC").alias("loc"), F.col("f.location.reachable_from_main").alias("reachable"), F.col("f.basic_blocks").alias("basic_blocks"))
+    """One row per function; func_ord counts in document order, through all documents by path. Of functions of a document with the same file and name the last one's values count, in the first one's place."""
+    if "document" not in inspection.columns:
+        inspection = inspection.withColumn("document", F.lit(""))
+    every = inspection.select("document").distinct()
+    numbers = every.withColumn("nth", F.row_number().over(Window.orderBy("document")) - 1)  # a row per file
+    rows = inspection.select("document", F.posexplode("functions").alias("at", "f")).join(numbers, "document")
+    rows = rows.select("document", F.when(F.col("nth") == 0, F.col("at").cast("long")).otherwise(F.col("nth") * F.lit(1 << 32) + F.col("at")).alias("func_ord"), F.col("f.location.filename").alias("file"), F.col("f.name").alias("name"), F.col("f.location.line.start").alias("start"), F.col("f.location.line.end").alias("end"), F.col("f.LoC").alias("loc"), F.col("f.location.reachable_from_main").alias("reachable"), F.col("f.basic_blocks").alias("basic_blocks"))
     last = [F.max_by(c, "func_ord").alias(c) for c in ("start", "end", "loc", "reachable", "basic_blocks")]
-    return rows.groupBy("file", "name").agg(F.min("func_ord").alias("func_ord"), *last).select("func_ord", "file", "name", "start", "end", "loc", "reachable", "basic_blocks")
+    return rows.groupBy("document", "file", "name").agg(F.min("func_ord").alias("func_ord"), *last).select("func_ord", "file", "name", "start", "end", "loc", "reachable", "basic_blocks")
 
 
 def blocks_of(functions: DataFrame) -> DataFrame:
@@ -113,11 +118,12 @@ def read_reports(spark: SparkSession, *paths: str) -> DataFrame:
 def read_summary(spark: SparkSession, *paths: str) -> DataFrame:
     """Crash summaries: one row per crash. The options of a file are those of its first row."""
     names = schema.SUMMARY_COLUMNS
-    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.split("value", ",").alias("f"))
-    rows = lines.filter((F.size("f") == len(names)) & (F.col("f")[0] != "bug_id"))
-    f = F.col("f")
-    frames = F.when(f[1] != "-", f[1]).try_cast("int")
-    flag = lambda i: F.lower(F.trim(f[i])) == "true"
+    files = spark.read.text(list(paths), wholetext=True)
+    data = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.split(x, ",")), lambda x: (F.size(x) == len(names)) & (x[0] != "bug_id"))
+    rows = files.select(data.alias("rows")).select(F.get("rows", F.lit(0)).alias("o"), F.explode("rows").alias("f"))
+    f, o = F.col("f"), F.col("o")
+    frames = F.when(o[1] != "-", o[1]).try_cast("int")
+    flag = lambda i: F.lower(F.trim(o[i])) == "true"
     return rows.select(
         f[0].cast("int").alias("bug_id"), frames.alias("n_dedup_frames"), flag(2).alias("consider_filepaths"), flag(3).alias("consider_lines"),
         f[4].alias("input_file"), f[5].alias("sanitizer"), f[6].alias("vuln_type"), decode_trace(f[7]).alias("stack_trace"),
@@ -146,11 +152,12 @@ def read_target_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_conditions(spark: SparkSession, path: str) -> DataFrame:
-    """Six tokens a line; ``none`` is null. flags: see ``operand_flags``."""
+    """Six tokens a line; ``none`` is null. flags: see ``operand_flags``; constant1, constant2: see ``operand_constant``."""
     rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") == 6)
     f = F.col("f")
     rows = rows.select(f[0].cast("int").alias("cnd_id"), F.when(f[1] != "none", f[1]).try_cast("int").alias("cbb_id"), f[2].alias("type1"), f[3].alias("type2"), f[4].alias("value1"), f[5].alias("value2"))
-    return rows.withColumn("flags", operand_flags(F.col("type1"), F.col("type2")))
+    constants = [operand_constant(F.col(f"value{i}")).alias(f"constant{i}") for i in (1, 2)]
+    return rows.select("*", operand_flags(F.col("type2"), F.col("value1"), F.col("value2")).alias("flags"), *constants)
 
 
 def read_seed_files(spark: SparkSession, root: str, most: int = MOST_INPUT_BYTES) -> DataFrame:
@@ -166,6 +173,12 @@ def read_traces(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.select("file", F.col("f")[0].cast("int").alias("edge"), F.col("f")[1].cast("int").alias("cls"))
 
 
+def read_minimiser_traces(spark: SparkSession, *paths: str) -> DataFrame:
+    """The minimiser's trace dumps, one file per execution, a line per pair of class and edge, which aren't separated: (file, tuple)."""
+    rows = spark.read.text(list(paths)).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("tuple"))
+    return rows.filter("tuple <> ''").distinct()
+
+
 def read_bitmap(spark: SparkSession, *paths: str) -> DataFrame:
     """Binary bitmaps as sparse rows (path, edge, value); zero bytes are left out."""
     rows = spark.read.format("binaryFile").load(list(paths)).select("path", F.hex("content").alias("h"))

@@ -101,6 +101,50 @@ def trace_lines(trace: DataFrame, minimiser: bool = False) -> DataFrame:
     return trace.orderBy("edge").select(text.alias("value"))
 
 
-def seed_name(id_: Column, src: Column, op: Column, new_coverage: Column) -> Column:
-    """``id:000001,src:000000,op:flip1`` and ``,+cov`` where coverage is new."""
-    return F.concat(F.format_string("id:%06d", id_), F.format_string(",src:%06d", src), F.lit(",op:"), op, F.when(new_coverage, ",+cov").otherwise(""))
+def change_name(src: Column, spliced: Column, op: Column, pos: Column, val: Column, big_endian: Column, rep: Column, peer: Column, new_coverage: Column) -> Column:
+    """How a file came about: ``src:000001+000002,op:arith8,pos:3,val:be:+7`` or ``...,rep:4``, or ``sync:peer,src:000001``; ``,+cov`` where coverage is new. Nulls leave their part out."""
+    own = F.concat(
+        F.format_string("src:%06d", src), F.when(spliced >= 0, F.format_string("+%06d", spliced)).otherwise(""), F.lit(",op:"), op,
+        F.when(pos >= 0, F.concat(F.format_string(",pos:%d", pos), F.when(val.isNotNull(), F.concat(F.lit(",val:"), F.when(big_endian, "be:").otherwise(""), F.format_string("%+d", val))).otherwise(""))).otherwise(F.format_string(",rep:%d", rep)),
+    )
+    said = F.when(peer.isNotNull(), F.concat(F.lit("sync:"), peer, F.format_string(",src:%06d", src))).otherwise(own)
+    return F.concat(said, F.when(new_coverage, ",+cov").otherwise(""))
+
+
+def seed_name(id_: Column, change: Column) -> Column:
+    """``id:000001,`` and how the seed came about."""
+    return F.concat(F.format_string("id:%06d,", id_), change)
+
+
+def crash_name(id_: Column, ms: Column, signal: Column, change: Column) -> Column:
+    """``id:000001,1234,sig:11,`` and how the crash came about; ms: since the start."""
+    return F.concat(F.format_string("id:%06d,%d,sig:%02d,", id_, ms, signal), change)
+
+
+def plot_lines(series: DataFrame) -> DataFrame:
+    """Lines of the plotted series from change-only rows with the columns of PLOT (map_size a number) and ``execs`` as text."""
+    names = [x.split()[0] for x in schema.PLOT.split(", ")]
+    cells = [F.format_string("%.2f%%" if c == "map_size" else "%.2f" if c == "execs_per_sec" else "%d", F.col(c)) for c in names]
+    return series.orderBy("unix_time").select(F.concat_ws(", ", *cells, *([F.col("execs")] if "execs" in series.columns else [])).alias("value"))
+
+
+def write_plot(series: DataFrame, path: str) -> None:
+    plot_lines(series).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_campaign_stats(series: DataFrame, path: str) -> None:
+    """The quarter-hourly statistics, with a header."""
+    names = [x.split()[0] for x in schema.CAMPAIGN_STATS.split(", ")]
+    series.select(*names).orderBy("fuzzing_dur").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_traces(trace: DataFrame, path: str, minimiser: bool = False) -> None:
+    """A folder of trace dumps for each execution (exec_id, edge, cls)."""
+    text = F.concat(F.col("cls").cast("string"), F.col("edge").cast("string")) if minimiser else F.format_string("%06d:%d", F.col("edge"), F.col("cls"))
+    rows = trace.select("exec_id", "edge", text.alias("value")).repartition("exec_id").sortWithinPartitions("exec_id", "edge")
+    rows.select("exec_id", "value").write.mode("overwrite").partitionBy("exec_id").text(path)
+
+
+def write_snapshot(snapshot: DataFrame, path: str) -> None:
+    """One instance's snapshot (one row)."""
+    snapshot_lines(snapshot).coalesce(1).write.mode("overwrite").text(path)

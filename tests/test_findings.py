@@ -1,6 +1,7 @@
 """The groupings and the filter on a small program of six functions, with hand-computed scores."""
 
 import json
+import random
 
 import pytest
 
@@ -127,6 +128,40 @@ def test_other_formats(spark, tmp_path):
     assert [tuple(r) for r in readers.read_pass_findings(spark, str(tmp_path / "b.csv")).collect()] == [("asan", "b.c", 7, "-")]
 
 
+def test_long_and_short_ranges(spark):
+    """Against all pairs, with ranges in both kinds of bins."""
+    r = random.Random(1)
+    points = [(f"f{r.randrange(2)}", r.randrange(0, 40_000)) for _ in range(300)]
+    ranges = [(f"f{r.randrange(2)}", a, a + r.choice((-1, 0, 5, 63, 64, 4095, 4096, 20_000)), i) for i in range(80) for a in [r.randrange(0, 30_000)]]
+    out = findings.within(spark.createDataFrame(points, "file string, line int"), spark.createDataFrame(ranges, "file string, s long, e long, n int"), "s", "e", ["file"])
+    expected = sorted((f, x, n) for f, x in points for g, a, b, n in ranges if f == g and a <= x <= b)
+    assert sorted((x.file, x.line, x.n) for x in out.collect()) == expected
+
+
+def test_functions_of_several_documents(spark, tmp_path):
+    place = lambda a, b: {"line": {"start": a, "end": b}}
+    for name, at in (("a", 10), ("b", 200)):
+        f = {"name": "f", "location": {"filename": f"{name}.c", "reachable_from_main": True, **place(at, at + 9)}, "LoC": 10, "basic_blocks": [{"id": 1, "location": place(at, at + 9), "LoC": 10}]}
+        (tmp_path / f"{name}.json").write_text(json.dumps({"functions": [f]}))
+    functions = readers.functions_of(readers.read_inspection(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json")))
+    blocks = readers.blocks_of(functions)
+    assert functions.select("func_ord").distinct().count() == 2
+    rows = spark.createDataFrame([("t", "a.c", 12, "v"), ("t", "b.c", 205, "v"), ("u", "b.c", 206, "v")], schema.FLAG)
+    assert sorted((x.file, x.line, x.n_flg_lines, x.n_run_tools) for x in findings.group_by_function_blocks(rows, functions, blocks).collect()) == [("a.c", 10, 1, 1), ("b.c", 200, 2, 2)]
+
+
+def test_lines_before_a_function_are_out_of_scope(spark):
+    lines = spark.createDataFrame([("f", "g", 1, 5), ("f", "g", 1, 12), ("f", "g", 1, 14), ("f", "g", 1, 14), ("f", "g", 2, 3), ("f", "g", 3, 0), ("f", "declared", 4, 7)], "file string, function string, block_id long, line int")
+    functions = spark.createDataFrame([("f", "g", 10), ("f", "declared", None)], "file string, function string, first int")
+    assert [tuple(x) for x in findings.line_statistics(lines, functions).collect()] == [("f", "g", 1, 12, 14, 2)]
+
+
+def test_shuffle_is_a_permutation_by_seed(spark):
+    rows = spark.range(50).withColumnRenamed("id", "k")
+    a, b, c = ([r.k for r in findings.shuffled(x, seed, "k").orderBy("rank").collect()] for x, seed in ((rows, 1), (rows.repartition(7), 1), (rows, 2)))
+    assert a == b != c and sorted(a) == list(range(50)) != a
+
+
 def test_target_match(spark):
     ins = spark.createDataFrame([(1, "/src/lib/a.c", 5, 0), (1, "/src/lib/a.c", 6, 1), (2, "/src/xlib/a.c", 5, 2), (3, "lib/a.c", 5, 3)], "block_id long, path string, line int, ordinal int")
     t = spark.createDataFrame([("lib/a.c", 5, 0.5), ("lib/a.c", 6, 0.9)], schema.TARGETS)

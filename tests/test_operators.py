@@ -46,7 +46,122 @@ def test_block_target_distances(spark):
     calls, cost = spark.createDataFrame([(2, 50)], "node long, callee long"), spark.createDataFrame([("U", 50, 10)], "source string, node long, cost int")
     get = lambda mode: {(r.node, r.target): r.dist for r in graph.block_target_distances(edges, targets, calls, cost, mode).collect()}
     assert get("composed") == {(3, "T"): 0, (2, "T"): 1, (1, "T"): 2, (2, "U"): 10, (1, "U"): 11}
-    assert get("parity") == {(3, "T"): 0, (2, "T"): 1, (1, "T"): 2, (2, "call:2"): 0, (1, "call:2"): 1}
+    # a call block has its callee's distances, not its own column
+    assert get("parity") == {(3, "T"): 0, (2, "U"): 10, (1, "T"): 2, (1, "call:2"): 1}
+
+
+def test_call_blocks_take_their_nearest_callee(spark):
+    calls = spark.createDataFrame([(1, 7, 0), (1, 8, 1), (1, 9, 2), (2, 9, 0), (3, 99, 0)], "node long, callee long, ordinal int")
+    nearest = graph.nearest_callees(calls, spark.createDataFrame([(7, 2.0), (8, 1.5), (9, 1.5)], "node long, distance double"))
+    assert {tuple(r) for r in nearest.collect()} == {(1, 8, 15.0), (2, 9, 15.0)}
+    # 4 -> 1 -> 5 and 4 -> 5, 4 -> 6; 5 is a target
+    edges = spark.createDataFrame([(4, 1), (1, 5), (4, 5), (4, 6)], "src long, dst long")
+    out = {r.node: r.distance for r in graph.block_distances(edges, spark.createDataFrame([(5,)], "node long"), nearest).collect()}
+    assert out == {1: 15.0, 2: 15.0, 5: 0.0, 4: 1 / (1 / 16 + 1 / 1)}
+
+
+def test_tainted_ignores_back_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 3)], "src long, dst long")
+    target = spark.createDataFrame([(2,)], "node long")
+    assert {r.node for r in graph.tainted(edges, target).collect()} == {1, 2, 3, 4}
+    assert {r.node for r in graph.tainted(edges, target, spark.createDataFrame([(3, 2)], "src long, dst long")).collect()} == {1, 2}
+
+
+def test_graphs_of_blocks_and_functions(spark):
+    of = spark.createDataFrame([(1, 10), (2, 10), (3, 20), (4, 30)], "node long, block_id long")
+    instructions = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 4), (1, 3)], "src long, dst long")
+    blocks = graph.block_edges(instructions, of)
+    assert {tuple(r) for r in blocks.collect()} == {(10, 10), (10, 20), (20, 30), (30, 30)}
+    assert {r.src: r.dst for r in graph.adjacency(blocks).collect()} == {10: [10, 20], 20: [30], 30: [30]}
+    calls = spark.createDataFrame([("main", "f"), ("f", "g"), ("main", "g"), ("g", "f")], "src string, dst string")
+    out = graph.function_distances(calls, spark.createDataFrame([(0, "g")], "source int, node string"))
+    assert {(r.node, r.dist, r.cost) for r in out.collect()} == {("g", 1, 10), ("f", 2, 20), ("main", 2, 20)}
+    assert {r.node for r in graph.reachable_nodes(calls, spark.createDataFrame([("f",)], "node string")).collect()} == {"f", "g"}
+    numbered = graph.dense_index(spark.createDataFrame([("a",), ("b",)], "node string"), ["node"])
+    cols = spark.createDataFrame([("t", 0)], "target string, index int")
+    cells = graph.distance_matrix(spark.createDataFrame([("a", "t", 3), ("a", "t", 2), ("b", "t", 5)], "node string, target string, dist int"), numbered, cols)
+    assert {tuple(r) for r in cells.collect()} == {(0, 0, 2), (1, 0, 5)}
+
+
+def test_queue(spark):
+    rows = [(1, False, 2.0), (2, True, -1.0), (3, True, 5.0), (4, True, 1.0), (5, False, -1.0), (6, True, 1.0)]
+    seeds = spark.createDataFrame(rows, "seed_id long, favored boolean, distance double")
+    assert [r.seed_id for r in directed.queue_order(seeds).orderBy("rank").collect()] == [4, 6, 3, 2, 1, 5]
+    queue = spark.createDataFrame([(0, 1, 5, 1, False, True), (1, 3, 9, 2, True, False)], "seed_id long, depth int, len long, n_fuzz long, is_target boolean, was_fuzzed boolean")
+    found = spark.createDataFrame([(1, 7, True, 20), (0, 8, False, 10), (9, 6, False, 30)], "src long, len long, is_target boolean, at int")
+    grown = directed.append_to_queue(queue, found)
+    assert sorted((r.seed_id, r.depth, r.len, r.n_fuzz, r.is_target) for r in grown.collect()) == [(0, 1, 5, 1, False), (1, 3, 9, 2, True), (2, 2, 8, 1, False), (3, 4, 7, 1, True), (4, 1, 6, 1, False)]
+    assert tuple(directed.queue_counters(grown).first()) == (5, 4, 4)
+    targets = spark.createDataFrame([(1, "active"), (2, "paused")], "target_id long, state string")
+    hits = spark.createDataFrame([(5, 1), (5, 2), (6, 2), (7, 1)], "seed_id long, target_id long")
+    assert {r.seed_id for r in directed.rare_target_seeds(hits, targets).collect()} == {5, 7}
+    conditions = spark.createDataFrame([(10, 1, 0), (10, 2, 1), (None, 3, 2)], "cbb_id long, cnd_id int, ordinal int")
+    assert dict(map(tuple, directed.conditions_of(spark.createDataFrame([(10,), (11,)], "block long"), conditions).collect())) == {10: 2, 11: 0}
+
+
+def test_mask_positions_against_the_rule(spark):
+    r = random.Random(2)
+    masks = {i: [r.choice((0, 1, 1, 3, 5, 7)) for _ in range(30)] for i in range(5)}
+    df = spark.createDataFrame([(i, at, x) for i, m in masks.items() for at, x in enumerate(m)], "input_id int, at int, flags int")
+    for kind, size in ((1, 1), (1, 4), (2, 2), (4, 1)):
+        expected = {(i, at) for i, m in masks.items() for at in range(30) if at + size <= 30 and all(x & kind for x in m[at : at + size])}
+        assert {tuple(x) for x in directed.mask_positions(df, kind, size).collect()} == expected
+
+
+def test_bounds_tallies_and_levels(spark):
+    d = spark.createDataFrame([(1, 0.0), (1, 3.0), (1, 2.0), (2, -1.0), (2, 4.0)], "cycle int, distance double")
+    assert sorted(map(tuple, directed.distance_bounds(d).collect())) == [(1, 2.0, 3.0), (2, 4.0, 4.0)]
+    states = spark.createDataFrame([("a", 1, "active", 0), ("a", 1, "paused", 2), ("a", 1, "finished", 9), ("a", 2, "active", 1)], "campaign string, cycle int, state string, execs long")
+    assert sorted(map(tuple, directed.state_tallies(states).collect())) == [("a", 1, 1, 1, 1, 2), ("a", 2, 1, 0, 0, 1)]
+    rows = [(1, 100, 10, 0, 0, -1.0, True, 3, 2), (2, 100, 10, 0, 0, -1.0, True, 17, 5), (3, 100, 10, 0, 0, -1.0, False, 17, 5), (4, 100, 10, 0, 0, -1.0, True, 20, 0)]
+    seeds = spark.createDataFrame(rows, "seed_id long, exec_us long, bitmap_size long, handicap int, depth int, distance double, is_target boolean, fuzz_level int, n_fuzz long")
+    out = {r.seed_id: r.perf_score for r in directed.power_schedule(seeds, 1.0, 2.0, 0.5, directed=False, fast=True).collect()}
+    assert out == {1: 400, 2: 400, 3: 100, 4: 1600}  # 8 / 2; 32 / 8; none; 32 / 1 and the cap
+
+
+def test_maps_and_workers(spark):
+    rows = [(1, 0, 1), (1, 65, 3), (1, 63, 0), (2, 5, 255)]
+    trace = spark.createDataFrame(rows, "exec_id long, edge int, cnt int")
+    assert {tuple(r) for r in coverage.presence_bitmap(trace).collect()} == {(1, 0, 1), (1, 1, 2), (2, 0, 32)}
+    variable = spark.createDataFrame([(1, 65)], "input_id long, edge int")
+    row = coverage.stability(trace, variable, 100).first()
+    assert (row.covered, row.variable, row.coverage, round(row.stability, 3)) == (3, 1, 3.0, 66.667)
+    sums = spark.createDataFrame([(i,) for i in range(-9, 12)], "checksum long")
+    parts = [{r.checksum for r in coverage.share_of_worker(sums, w, 3).collect()} for w in (1, 2, 3)]
+    assert set.union(*parts) == set(range(-9, 12)) and sum(map(len, parts)) == 21
+    assert [r.checksum for r in coverage.first_kept(sums, 3, "checksum").collect()] == [-9, -8, -7]
+    inputs = spark.createDataFrame([(bytearray(b"aab"),), (bytearray(b""),), (bytearray(b"b\x00"),)], "content binary")
+    assert dict(map(tuple, coverage.symbol_histogram(inputs).collect())) == {"61": 2, "62": 2, "00": 1}
+    novel, records = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "exec_id long, novelty int"), spark.createDataFrame([(1, 4)], "cnd_id int, exec_id long")
+    assert {r.exec_id for r in coverage.kept(novel, records).collect()} == {2, 3, 4}
+    assert one(spark, fn.edge_only(F.lit(7))) == 1 and one(spark, fn.simplified(F.lit(0))) == 1 and one(spark, fn.simplified(F.lit(3))) == 128 and one(spark, fn.linear_cycle_interval(F.lit(5), F.lit(2))) == 7
+
+
+def test_directed_favourites(spark):
+    winners = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 40)], "block int, seed_id long")
+    hits, solved = spark.createDataFrame([(2, 500), (3, 3)], "block int, hits long"), spark.createDataFrame([(1,)], "block int")
+    holders = spark.createDataFrame([(1, 50), (2, 60)], "cnd_id int, exec_id long")
+    of = lambda *a: {r.seed_id for r in coverage.directed_favourites(winners, hits, solved, holders, 200, *a).collect()}
+    assert of() == {30, 40, 50, 60}
+    outcomes, rare = spark.createDataFrame([(1, 3), (2, 1)], "cnd_id int, outcomes int"), spark.createDataFrame([(99,)], "seed_id long")
+    assert of(outcomes, rare) == {30, 40, 60, 99}
+
+
+def test_unique_crashes_are_gated_and_capped(spark):
+    rows = traces(8)
+    trace = spark.createDataFrame(rows, "exec_id long, edge int, cnt int")
+    gate = {x for x, _, _ in rows if x % 2}
+    present, absent, expected = set(), set(), []
+    universe = {e for x, e, _ in rows if x in gate}
+    for x in sorted(gate):
+        hit = {e for y, e, _ in rows if y == x}
+        if not expected or hit - present or (universe - hit) - absent:
+            expected.append(x)
+        present |= hit
+        absent |= universe - hit
+    on_target = spark.createDataFrame([(x,) for x in gate], "exec_id long")
+    assert sorted(r.exec_id for r in coverage.unique_crashes(trace, on_target).collect()) == expected
+    assert sorted(r.exec_id for r in coverage.unique_crashes(trace, on_target, 2).collect()) == expected[:2]
 
 
 def traces(seed=3, execs=40, edges=12):
@@ -83,6 +198,25 @@ def test_covers_cover_everything(spark):
     seeds = spark.createDataFrame([(x, x % 7 + 1, 10 + x % 3) for x in range(40)], "seed_id long, len long, exec_us long")
     picked = {r.seed_id for r in coverage.greedy_edge_cover(df, seeds).collect()}
     assert {e for x, e, _ in rows if x in picked} == {e for _, e, _ in rows}
+    # against the plain loops
+    cost = {x: (10 + x % 3) * (x % 7 + 1) for x in range(40)}
+    covered, favoured = set(), []
+    for e in sorted({e for _, e, _ in rows}):
+        if e not in covered:
+            best = min({x for x, f, _ in rows if f == e}, key=lambda x: (cost[x], -x))
+            favoured += [best] if best not in favoured else []
+            covered |= {f for x, f, _ in rows if x == best}
+    assert [r.seed_id for r in coverage.greedy_edge_cover(df, seeds).orderBy("pick").collect()] == favoured
+    bucket = lambda n: next(b for m, b in ((1, 1), (2, 2), (3, 4), (7, 8), (15, 16), (31, 32), (127, 64), (255, 128)) if n <= m)
+    has = {x: {(bucket(n), e) for y, e, n in rows if y == x} for x in range(40)}
+    every = set().union(*has.values())
+    covered, kept = set(), []
+    for t in sorted(every, key=lambda t: (sum(t in has[x] for x in has), f"{t[0]}{t[1]}")):
+        if t not in covered:
+            best = min((x for x in has if t in has[x]), key=lambda x: (x % 7 + 1, x))
+            kept += [best] if best not in kept else []
+            covered |= has[best]
+    assert [r.seed_id for r in coverage.greedy_file_cover(df, seeds).orderBy("pick").collect()] == kept
     picked = {r.seed_id for r in coverage.greedy_file_cover(df, seeds).collect()}
     assert len(picked) < 40 and {(e, n) for x, e, n in rows if x in picked} == {(e, n) for _, e, n in rows}
 
@@ -120,8 +254,8 @@ def test_side_tables(spark, tmp_path):
     assert {tuple(r) for r in cells.collect()} == {(i, j, 3 * i + j + 1) for i in range(3) for j in range(3)}
     writers.write_matrix(cells.filter("dist <> 5"), 3, 3, str(tmp_path / "out"))
     assert {tuple(r) for r in readers.read_distance_matrix(spark, str(next((tmp_path / "out").glob("part*")))).collect()} == {(i, j, -1 if i == j == 1 else 3 * i + j + 1) for i in range(3) for j in range(3)}
-    (tmp_path / "c.txt").write_text("1 none int32 int32_const x 5\n2 7 int64 str a b\n")
-    assert {(r.cnd_id, r.cbb_id, r.flags) for r in readers.read_conditions(spark, str(tmp_path / "c.txt")).collect()} == {(1, None, 5), (2, 7, 8)}
+    (tmp_path / "c.txt").write_text("1 none int32 int32 var 5 \n2 none int64 int32 var var \n3 7 int32 int64 12x -4 \n4 8 int32 str null var \n")
+    assert {(r.cnd_id, r.cbb_id, r.flags, r.constant1, r.constant2) for r in readers.read_conditions(spark, str(tmp_path / "c.txt")).collect()} == {(1, None, 5, None, 5), (2, None, 4, None, None), (3, 7, 11, 12, -4), (4, 8, 2, 0, None)}
     (tmp_path / "snap").write_text("start_time        : 100\nexecs_done        : 50\nstability         : 99.50%\ncommand_line      : ./x -a : b\n")
     snap = readers.read_snapshots(spark, str(tmp_path / "snap")).first()
     assert (snap.start_time, snap.execs_done, snap.stability, snap.command_line) == (100, 50, 99.5, "./x -a : b")
@@ -154,6 +288,11 @@ def test_probes(spark):
 
 
 def test_skip_probability(spark):
-    rows = [("a", 1, True, False), ("a", 2, False, False), ("b", 3, True, True), ("b", 4, False, True), ("b", 5, False, False)]
+    rows = [("a", 1, True, False), ("a", 2, False, False), ("b", 3, True, True), ("b", 4, False, True), ("b", 5, False, False), ("c", 6, False, True)]
+    rows += [("b", 100 + i, True, True) for i in range(8)]
     seeds = spark.createDataFrame(rows, "campaign string, seed_id long, favored boolean, was_fuzzed boolean")
-    assert {r.seed_id: r.skip_percent for r in directed.skip_probability(seeds).collect()} == {1: 0, 2: 99, 3: 0, 4: 95, 5: 75}
+    of = lambda df: {r.seed_id: r.skip_percent for r in df.collect() if r.seed_id < 100}
+    assert of(directed.skip_probability(seeds)) == {1: 0, 2: 99, 3: 0, 4: 95, 5: 75, 6: 0}  # c has too short a queue
+    assert of(directed.skip_probability(seeds, cycle_count=1)) == {1: 0, 2: 99, 3: 0, 4: 95, 5: 95, 6: 0}
+    assert set(of(directed.skip_probability(seeds, explore=False)).values()) == {0}
+    assert of(directed.skip_probability(seeds.withColumn("is_dead", F.col("seed_id") == 3)))[3] == 100

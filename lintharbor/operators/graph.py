@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration by a checkpoint in the shared folder; in a session without one, in a temporary folder."""
+    """Cut the lineage of an iteration by a checkpoint in the shared folder; in a local session without one, in a temporary folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not (context.master or "").startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="lintharbor-")
-        context.setCheckpointDir(base)
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

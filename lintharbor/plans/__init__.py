@@ -1 +1,6 @@
-"""Adapters of the driver's tables and the registered queries."""
+"""The registered queries and their SQL."""
+
+from . import more_queries, round_trips  # noqa: F401
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -41,7 +41,10 @@ def set_remove(spark: SparkSession, d: str) -> DataFrame:
     return findings.remove(f, f.filter("line % 3 = 0"))
 
 
-@query("SELECT TRUE AS same, FALSE AS other")
+@query(
+    f"""WITH {FLAGS_SQL}, above AS (SELECT * FROM flags WHERE line > 0)
+SELECT NOT EXISTS (SELECT * FROM flags EXCEPT SELECT DISTINCT * FROM flags) AS same, NOT EXISTS (SELECT * FROM flags EXCEPT SELECT * FROM above) AND NOT EXISTS (SELECT * FROM above EXCEPT SELECT * FROM flags) AS other"""
+)
 def set_equal(spark: SparkSession, d: str) -> DataFrame:
     f = A.flags(spark, d)
     return spark.createDataFrame([(findings.equal(f, f.dropDuplicates()), findings.equal(f, f.filter("line > 0")))], "same boolean, other boolean")
@@ -88,7 +91,12 @@ def group_block_v2(spark: SparkSession, d: str) -> DataFrame:
     return findings.group_by_function_blocks(A.flags(spark, d), A.functions(spark, d), A.blocks(spark, d), rounded=False)
 
 
-@query()
+@query(
+    f"""WITH {FLAGS_SQL.replace("flags AS", "every AS")}, {BLOCKS_SQL}, flags AS (SELECT * FROM every f WHERE EXISTS (SELECT 1 FROM functions u WHERE u.file = f.file AND u.reachable AND f.line BETWEEN u.s AND u.e)),
+{_TOTAL}, m AS ({_FIRST.format(order="func_ord, bs", of="blocks", s="bs", e="be")}),
+g AS (SELECT file, CAST(bs AS INTEGER) AS pos, CAST(bloc AS INTEGER) AS n_all_lines, func_ord, {_NAMES}, {_COUNTS} FROM m WHERE k = 1 GROUP BY file, func_ord, bs, bloc)
+SELECT DISTINCT * REPLACE (CAST(format('{{:.3f}}', score) AS DOUBLE) AS score) FROM (SELECT {_OUT} FROM (SELECT *, pos AS line FROM g, total))"""
+)
 def score_round3(spark: SparkSession, d: str) -> DataFrame:
     return findings.findings_pipeline(A.flags(spark, d), A.functions(spark, d), A.blocks(spark, d))
 
@@ -172,9 +180,12 @@ def variable_edges(spark: SparkSession, d: str) -> DataFrame:
     return coverage.variable_edges(runs)
 
 
-@query()
+@query(
+    f"""WITH {TRACE_SQL}, s AS (SELECT exec_id, list((edge, {BUCKET_SQL}) ORDER BY edge) AS k FROM trace WHERE cnt > 0 GROUP BY exec_id)
+SELECT exec_id, count(*) OVER (PARTITION BY k) AS n_fuzz FROM s"""
+)
 def path_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.path_frequency(A.trace(spark, d))
+    return coverage.path_frequency(A.trace(spark, d)).select("exec_id", "n_fuzz")
 
 
 @query(f"WITH {CONDITIONS_SQL}, r AS (SELECT cnd_id, exec_id, CAST(64 - bit_count(xor(a, b)) AS INTEGER) AS bits FROM conditions), w AS (SELECT *, max(bits) OVER (PARTITION BY cnd_id ORDER BY exec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM r) SELECT cnd_id, exec_id, bits FROM w WHERE best IS NULL OR bits > best")
@@ -199,7 +210,7 @@ def target_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def _dedup_sql(n: int | None, fields: str) -> str:
     head = "t" if n is None else f"t[1:{n}]"
-    return f"WITH {CRASHES_SQL}, k AS (SELECT input_file, list_transform({head}, lambda f: {fields}) AS key FROM crashes) SELECT input_file, CAST(dense_rank() OVER (ORDER BY key) - 1 AS INTEGER) AS bug_id FROM k"
+    return f"WITH {CRASHES_SQL}, k AS (SELECT input_file, list_transform({head}, lambda f: {fields}) AS key, sanitizer, vuln_type FROM crashes) SELECT input_file, CAST(dense_rank() OVER (ORDER BY sanitizer, vuln_type, key) - 1 AS INTEGER) AS bug_id FROM k"
 
 
 _ID, _FILE, _LINE = "{'id': f.id, 'function': f.function}", "{'id': f.id, 'file': f.file, 'function': f.function}", "{'id': f.id, 'function': f.function, 'line': f.line}"
@@ -246,7 +257,7 @@ def trace_codec(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("input_file", "code", F.size(decode_trace(F.col("code"))).alias("n"))
 
 
-_BFS = f"WITH RECURSIVE {EDGES_SQL}, r(node, dist) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.dist + 1 FROM r JOIN edges e ON e.src = r.node)"
+_BFS = f"WITH RECURSIVE {EDGES_SQL}, r(node, dist) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.dist + 1 FROM r JOIN edges e ON e.src = r.node WHERE r.dist < 40)"
 
 
 @query(f"{_BFS} SELECT DISTINCT node FROM r")
@@ -329,16 +340,22 @@ def power_schedule(spark: SparkSession, d: str) -> DataFrame:
     return directed.power_schedule(A.seeds(spark, d), 1.0, 38.0, 0.25)
 
 
-@query()
+@query(f"WITH {SEEDS_SQL} SELECT seed_id, row_number() OVER (ORDER BY NOT favored, distance = -1, distance, seed_id) AS rank FROM seeds")
 def queue_order(spark: SparkSession, d: str) -> DataFrame:
-    return directed.queue_order(A.seeds(spark, d)).select("seed_id", "favored", "distance")
+    return directed.queue_order(A.seeds(spark, d)).select("seed_id", "rank")
 
 
 def _durations(spark, d) -> DataFrame:
     return A.table(spark, d, "events").groupBy(F.col("user_id").alias("campaign")).agg((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("duration"))
 
 
-@query()
+_DURATIONS = "durations AS (SELECT user_id AS campaign, CAST(epoch(date_trunc('second', max(ts))) AS BIGINT) - CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS duration FROM events GROUP BY 1)"
+
+
+@query(
+    f"""WITH RECURSIVE {_DURATIONS}, c(campaign, duration, cycle, starts, ends) AS (SELECT campaign, duration, 0, CAST(0 AS BIGINT), CAST(3600 AS BIGINT) FROM durations WHERE duration >= 0
+UNION ALL SELECT campaign, duration, cycle + 1, ends, ends + 3600 + CAST(floor(log2(ends / CAST(3600 AS DOUBLE) + 1) * 150) AS BIGINT) FROM c WHERE ends <= duration) SELECT campaign, cycle, starts, ends FROM c"""
+)
 def cycle_windows(spark: SparkSession, d: str) -> DataFrame:
     return directed.cycle_boundaries(_durations(spark, d), 3600)
 
@@ -383,10 +400,17 @@ def change_only_series(spark: SparkSession, d: str) -> DataFrame:
     return campaign.change_only(A.series(spark, d), "campaign", ["ts", "event_id"], ["paths", "crashes"]).select("campaign", "event_id", "paths", "crashes")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SERIES_SQL}, s AS (SELECT campaign, epoch_us(ts) // 1000 AS at_ms, execs, row_number() OVER (PARTITION BY campaign ORDER BY epoch_us(ts) // 1000, execs) AS k FROM series),
+r(campaign, at_ms, execs, k, rate) AS (SELECT campaign, at_ms, execs, k, CASE WHEN at_ms > 0 THEN CAST(execs * 1000 AS DOUBLE) / at_ms ELSE 0 END FROM s WHERE k = 1
+UNION ALL SELECT s.campaign, s.at_ms, s.execs, s.k, CASE WHEN r.execs = 0 THEN CAST(s.execs * 1000 AS DOUBLE) / s.at_ms WHEN s.at_ms = r.at_ms THEN r.rate
+  WHEN x.v * 5 < r.rate OR x.v / 5 > r.rate THEN x.v * (1 - CAST(1 AS DOUBLE) / 16) + x.v / 16 ELSE r.rate * (1 - CAST(1 AS DOUBLE) / 16) + x.v / 16 END
+  FROM r JOIN s ON s.campaign = r.campaign AND s.k = r.k + 1, LATERAL (SELECT CAST((s.execs - r.execs) * 1000 AS DOUBLE) / nullif(s.at_ms - r.at_ms, 0) AS v) x)
+SELECT campaign, at_ms, execs, round(rate, 9) AS rate FROM r"""
+)
 def ewma_rate(spark: SparkSession, d: str) -> DataFrame:
     s = A.series(spark, d).select("campaign", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "execs", F.lit(0).cast("long").alias("start_ms"))
-    return campaign.execution_rate(s, "campaign", "at_ms", "execs", "start_ms")
+    return campaign.execution_rate(s, "campaign", "at_ms", "execs", "start_ms").withColumn("rate", F.round("rate", 9))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 1 THEN 1 ELSE CAST(pow(2, ceil(log2(p_size))) AS BIGINT) END AS p2 FROM part")
@@ -394,7 +418,7 @@ def next_power(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "part").select("p_partkey", next_p2(F.col("p_size")).alias("p2"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = 5 AND l_partkey = 5 THEN 'none' WHEN l_partkey % 9 = 1 OR l_suppkey % 9 = 1 OR l_linenumber = 1 OR l_orderkey % 9 = 1 THEN CASE WHEN l_partkey % 9 = 1 AND l_suppkey % 9 = 1 AND l_linenumber = 1 AND l_orderkey % 9 = 1 THEN 'none' ELSE 'minor' END WHEN l_partkey % 9 = l_suppkey % 9 AND l_partkey % 9 = l_linenumber AND l_partkey % 9 = l_orderkey % 9 THEN 'fixed' ELSE 'variable' END AS cls FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 9 = 1 OR l_suppkey % 9 = 1 OR l_linenumber = 1 OR l_orderkey % 9 = 1 THEN CASE WHEN l_partkey % 9 = 1 AND l_suppkey % 9 = 1 AND l_linenumber = 1 AND l_orderkey % 9 = 1 THEN 'none' ELSE 'minor' END WHEN l_partkey % 9 = l_suppkey % 9 AND l_partkey % 9 = l_linenumber AND l_partkey % 9 = l_orderkey % 9 THEN 'fixed' ELSE 'variable' END AS cls FROM lineitem")
 def byte_response(spark: SparkSession, d: str) -> DataFrame:
     t = A.table(spark, d, "lineitem")
     return t.select("l_orderkey", "l_linenumber", response_class(F.lit(1), F.col("l_partkey") % 9, F.col("l_suppkey") % 9, F.col("l_linenumber"), F.col("l_orderkey") % 9).alias("cls"))

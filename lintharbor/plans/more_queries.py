@@ -42,7 +42,7 @@ def difference_ends(spark: SparkSession, d: str) -> DataFrame:
 
 _CALLS = "calls AS (SELECT p_partkey AS node, CAST(p_size % 7 AS BIGINT) AS callee, 0 AS ordinal FROM part WHERE p_partkey % 53 = 0 UNION ALL SELECT p_partkey, CAST(p_partkey % 11 AS BIGINT), 1 FROM part WHERE p_partkey % 53 = 0), fd AS (SELECT i AS node, 1 + i % 4 * CAST(0.5 AS DOUBLE) AS distance FROM range(0, 9) r(i))"
 _NEAREST = "nearest AS (SELECT node, callee, distance FROM (SELECT c.node, c.callee, 10 * fd.distance AS distance, row_number() OVER (PARTITION BY c.node ORDER BY fd.distance, c.ordinal, c.callee) AS k FROM calls c JOIN fd ON fd.node = c.callee) WHERE k = 1)"
-_HOPS = "hops(source, node, dist) AS (SELECT node, node, 0 FROM given UNION SELECT h.source, e.src, h.dist + 1 FROM hops h JOIN edges e ON e.dst = h.node WHERE h.dist < 24)"
+_HOPS = "hops(source, node, dist) AS (SELECT node, node, 0 FROM given UNION SELECT h.source, e.src, h.dist + 1 FROM hops h JOIN edges e ON e.dst = h.node WHERE h.dist < 60)"
 
 
 def _calls(spark, d) -> tuple[DataFrame, DataFrame]:

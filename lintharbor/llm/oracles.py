@@ -48,10 +48,15 @@ lengths AS (SELECT DISTINCT k FROM g),
 dw AS (SELECT doc_id, k, p, array_to_string(w[p + 1 : p + k], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(greatest(len(w) - k + 1, 0))) AS p FROM d, lengths)),
 m AS (SELECT dw.doc_id, g.item_id, dw.p, dw.k FROM dw JOIN g USING (k, g)),
 hits AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM m) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id),
+gl AS (SELECT DISTINCT item_id, k, w[s + 1 : s + k] AS g FROM (SELECT item_id, w, k, unnest(range(len(w) - k + 1)) AS s FROM i)),
+said AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM d) GROUP BY x),
+rare AS (SELECT item_id, k, g, arg_min(x, n * 1000 + o) AS x FROM (SELECT item_id, k, g, unnest(g) AS x, unnest(range(k)) AS o FROM gl) JOIN said USING (x) GROUP BY item_id, k, g HAVING count(*) = k),
+around AS (SELECT doc_id, k, w[p + 1] AS x, w[greatest(p - k - 4, 0) + 1 : p + k + 5] AS c FROM (SELECT doc_id, w, k, unnest(range(len(w))) AS p FROM d, lengths)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM around JOIN rare USING (k, x) WHERE list_has_all(c, g) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(hits.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(named.s, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+  sha256(coalesce(named.s, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated, CAST(coalesce(near.n, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op4_url_filter": rf"""
 WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages),
 said AS (SELECT url, trim(regexp_replace(CASE WHEN lower(tag[1:5]) = '<link'

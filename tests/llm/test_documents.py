@@ -81,7 +81,7 @@ def contaminated(text, items):
 def test_contamination(spark, docs, documents, empty, clashing):
     items = [(1, prose(2, 60)), (2, "One, TWO"), (3, None), (4, ""), (1, prose(2, 60)), (None, prose(1, 40)), (10, prose(3, 90)[:200]), (9, "never seen words stand in this item here at all ever")]
     bench = clashing(spark.createDataFrame(items, "item_id long, text string"))
-    out = decontamination.contamination(docs, bench).drop("h")
+    out = decontamination.contamination(docs, bench).drop("n_near")
     assert rows_of(out) == sorted([(d, *contaminated(t, items)) for d, t in documents], key=repr)
     kept = decontamination.clean_documents(docs, bench)
     assert kept.columns == docs.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((d, t) for d, t in documents if not contaminated(t, items)[-1])
@@ -94,10 +94,48 @@ def test_contamination_random(spark):
     text = lambda n: " ".join(r.choice("a b c d".split()) for _ in range(n))
     items = [(i, text(r.choice((1, 4, 9, 10, 11, 14)))) for i in range(12)]
     rows = [(i, text(r.choice((0, 3, 30, 600)))) for i in range(40)]
-    out = decontamination.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).drop("h")
+    out = decontamination.contamination(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).drop("n_near")
     assert rows_of(out) == sorted([(d, *contaminated(t, items)) for d, t in rows], key=repr)
 
 
+@pytest.mark.parametrize("broadcast", [False, True])
+def test_matches_against_brute_force(spark, monkeypatch, broadcast):
+    """Exact and proximity matches, with and without broadcasts, and from one index of all words for two benchmarks."""
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    r = random.Random(19)
+    text = lambda n: " ".join(r.choice("the the the of a b c d e f g h i j k l".split()) for _ in range(n))
+    rows = [(i, text(r.choice((0, 5, 60, 300)))) for i in range(25)]
+    docs = spark.createDataFrame(rows + rows[:3], DOCS)
+    index = decontamination.build_index(docs, decontamination.work_dir(spark, "index"))
+    for items in ([(1, max(rows, key=lambda x: len(x[1]))[1][:80]), (2, text(4)), (3, "the"), (4, text(12)), (5, "k l k")], [(7, max(rows, key=lambda x: len(x[1]))[1][90:140]), (8, "never seen"), (9, text(10))]):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        exact, near = set(), set()
+        for d, t in rows:
+            w = words(t)
+            for item, said in items:
+                i = words(said)
+                n = min(10, len(i))
+                for g in {tuple(i[s : s + n]) for s in range(len(i) - n + 1)}:
+                    exact |= {(d, item, p, p + n - 1) for p in range(len(w) - n + 1) if tuple(w[p : p + n]) == g}
+                    rarest = min(g, key=lambda x: (sum(words(y).count(x) for _, y in rows + rows[:3]), g.index(x)))
+                    near |= {(d, item, p) for p, x in enumerate(w) if x == rarest and set(g) <= set(w[max(0, p - n + 1 - 3) : p + n + 3])}
+        for given in (None, index):
+            assert {(x.doc_id, x.item_id, x["first"], x["last"]) for x in decontamination.phrase_matches(docs, bench, index=given).collect()} == exact
+            assert {(x.doc_id, x.item_id, x.pos) for x in decontamination.proximity_matches(docs, bench, slop=3, index=given).collect()} == near
+        told = {x.doc_id: x for x in decontamination.contamination(docs, bench, index=index).collect()}
+        assert len(exact) and {d for d, x in told.items() if x.contaminated} == {x[0] for x in exact}
+
+
+def test_index_holds_all_words_and_needs_no_python(spark, docs, documents):
+    index = decontamination.build_index(docs, decontamination.work_dir(spark, "index"))
+    assert index.count() == sum(len(words(t)) + 1 for _, t in documents)
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    plan = decontamination.contamination(docs, bench)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
+
+
 def test_proximity(spark):
     item = " ".join(f"q{i}" for i in range(10))
     mixed = " ".join(f"q{i}" for i in (3, 1, 0, 2, 4, 5, 9, 8, 7, 6))

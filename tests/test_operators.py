@@ -230,6 +230,52 @@ def test_target_states():
     assert states == ["paused", "active", "paused", "paused", "active", "active", "active"] and modes[-1] == "restart" and modes[0] == "coverage"
 
 
+def test_target_states_against_plain_lists(spark):
+    """Random campaigns, each rule of the cycle written out on lists."""
+    r = random.Random(13)
+    cycles, targets, expected = [], [], []
+    for name in ("a", "b", "c"):
+        n = r.randrange(2, 6)
+        scores = [r.choice((0.25, 0.5, 0.75, 1.0)) for _ in range(n)]
+        targets += [(name, i, s) for i, s in enumerate(scores)]
+        state, execs, skips, last = ["active"] * n, [0] * n, [0] * n, [1] * n
+        for cycle in range(1, 30):
+            inputs, solved, exhausted = r.randrange(1, 60), r.random() < 0.5, r.random() < 0.2
+            hits = {i: r.randrange(1, 25) for i in range(n) if r.random() < 0.25}
+            cycles.append((name, cycle, inputs, solved, exhausted, hits))
+            unfinished = [i for i in range(n) if state[i] != "finished"]
+            weight = sum(scores[i] for i in unfinished)
+            for i in unfinished:
+                execs[i] += hits.get(i, 0)
+                share = inputs * scores[i] / weight
+                needed = max(1, int(share + 0.5))
+                if execs[i] >= needed:
+                    state[i] = "finished"
+                elif i in hits:
+                    state[i], skips[i], last[i] = "active", 0, 1
+                elif skips[i] > 1:
+                    skips[i] -= 1
+                elif skips[i] == 1:
+                    state[i], skips[i] = "active", 0
+                else:
+                    state[i], skips[i], last[i] = "paused", last[i], last[i] + 1
+            if solved and set(state) == {"finished"}:
+                mode = "restart"
+                for i in range(n):
+                    if scores[i] >= 0.5:
+                        state[i], execs[i], skips[i], last[i] = "active", 0, 0, 1
+            elif exhausted and not solved or "active" not in state:
+                mode = "coverage"
+            else:
+                mode = "directed"
+            expected += [(name, cycle, mode, i, state[i], execs[i], skips[i], last[i]) for i in range(n)]
+    out = directed.target_state_machine(
+        spark.createDataFrame(cycles, "campaign string, cycle int, inputs long, solved boolean, exhausted boolean, hits map<bigint,bigint>").repartition(5), spark.createDataFrame(targets, "campaign string, target_id long, score double")
+    )
+    assert sorted(map(tuple, out.collect())) == sorted(expected)
+    assert {x[2] for x in expected} >= {"coverage", "directed"}
+
+
 def test_power_schedule(spark):
     rows = [(1, 10, 100, 0, 0, 5.0), (2, 1000, 100, 5, 9, 1.0), (3, 100, 10, 1, 30, -1.0)]
     df = spark.createDataFrame(rows, "seed_id long, exec_us long, bitmap_size long, handicap int, depth int, distance double")

@@ -42,3 +42,53 @@ def test_stages(spark, corpus):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, root).collect()
     assert {r.doc_id for r in packed} == set(redacted)
     assert {r.doc_id for r in corpus_pipeline.run(spark, root).collect()} == set(redacted)
+
+
+def test_run_against_brute_force(spark, corpus):
+    """The whole pipeline against plain Python on the same tables, but for the learned weights: which documents come through, and every packed id."""
+    import zlib
+    from collections import defaultdict
+
+    import corpus_pipeline
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from lintharbor.llm import packing, quality
+
+    from .test_documents import contaminated, secrets, shingle_set
+
+    root, _ = corpus
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    items = [tuple(r) for r in spark.read.parquet(f"{root}/benchmark.parquet").collect()]
+    net = quality.learn(docs, spark.read.parquet(f"{root}/labels.parquet"))
+    left = {r.doc_id: r.text for r in docs.collect() if net.score([r.text.encode()])[0] >= 0.7}
+    sets, parent = {d: shingle_set(t) for d, t in left.items()}, {d: d for d in left}
+
+    def root_of(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in left:
+        for b in left:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root_of(a), root_of(b)))
+                parent[y] = x
+    left = {d: t for d, t in left.items() if root_of(d) == d and not contaminated(t, items)[-1]}
+
+    def redacted(text):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in secrets(text)[-1].split(",") if x]
+        for a, b in reversed(spans):
+            text = text[:a] + "[REDACTED]" + text[b:]
+        return text
+
+    exact = Tokenizer.from_file(packing.default_tokenizer())
+    ids = {d: np.array([*exact.encode(redacted(t), add_special_tokens=False).ids, 0], "<u4") for d, t in left.items()}
+    pieces, fill = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, root).collect():
+        x = ids[r.doc_id]
+        assert r.doc_tokens == len(x) and r.ids_crc32 == zlib.crc32(x[r.start : r.start + r.length].tobytes())
+        pieces[r.doc_id] += range(r.start, r.start + r.length)
+        fill[r.sequence_id] += range(r.offset, r.offset + r.length)
+    assert {d: sorted(p) for d, p in pieces.items()} == {d: list(range(len(x))) for d, x in ids.items()}
+    assert all(sorted(f) == list(range(len(f))) and len(f) <= 1024 for f in fill.values())

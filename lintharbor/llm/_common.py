@@ -43,10 +43,11 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table of the work folder that no later step reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(spark: SparkSession, path: str, *names: str) -> None:
+    """Delete a table of the work folder, or those of the given names in it, that no later step reads."""
+    for each in [f"{path}/{n}" for n in names] or [path]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(each)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, join_unique, materialize, shielded, work_dir
+from ._common import ascii_lower, discard, join_unique, materialize, shielded, work_dir
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW_WORDS = 10
@@ -170,6 +170,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORDS,
     near = _near(index, ordered, SLOP, folder).select("k", "item_id").distinct().groupBy("k").agg(F.count("*").alias("n_near"))
     sizes = index.filter(F.col("term") == END).groupBy("k").agg(F.max("pos").cast("long").alias("n_words"), F.count("*").alias("n"))  # n: the rows of a repeated document
     marks = materialize(reduce(lambda a, b: a.join(b, "k", "left"), [sizes, covered, named, near]), f"{folder}/marks")
+    discard(docs.sparkSession, folder, "postings", "hits", "second_left", "near_left")
     zero = F.lit(0).cast("long")
     own = join_unique(docs.select("doc_id", document_key().alias("k")), marks, "k", "n", F.monotonically_increasing_id())
     return own.select(
@@ -182,5 +183,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW_WORD
     """The rows of ``docs`` that hold no window of any item, with all their columns."""
     folder = work_dir(docs.sparkSession, "decontamination")
     bad = materialize(_phrases(*_prepared(docs, items, window, folder, None), folder).select("k").distinct(), f"{folder}/bad")
+    discard(docs.sparkSession, folder, "postings", "second_left")
     rows, inner = shielded(docs)
     return rows.withColumn("_k", document_key(inner["doc_id"], inner["text"])).join(bad.withColumnRenamed("k", "_k"), "_k", "left_anti").select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, join_unique, materialize, partitions, shielded, work_dir
+from ._common import bounded_batches, discard, join_unique, materialize, partitions, shielded, work_dir
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -347,6 +347,7 @@ def _match(trie: DataFrame, sizes: DataFrame, texts: DataFrame, depth: int, befo
     picked = chosen.filter("by_node").select("d", "h", "mean")
     of_nodes = met.join(picked, ["d", "h"]).select("d", "h", F.lit(1).alias("kind"), F.col("node").alias("key"), F.col("tree").cast("long").alias("sub"), F.greatest(F.lit(1), of_node).alias("b"))
     asked = of_part.unionByName(of_nodes).groupBy("d", "h").agg(F.collect_list(F.struct("kind", "key", "sub", "b")).alias("units"))  # a unit per tree at most
+    asked = materialize(asked, f"{folder}/asked")
 
     read = texts.join(asked, ["d", "h"]).select("d", "h", "copies", "labels", "text", F.explode("units").alias("u")).select("d", "h", "copies", "labels", "text", "u.kind", "u.key", "u.sub", "u.b")
     side = F.pmod(F.xxhash64("d", "h"), F.col("b")).cast("int")
@@ -354,7 +355,9 @@ def _match(trie: DataFrame, sizes: DataFrame, texts: DataFrame, depth: int, befo
     read = read.select("kind", "key", "sub", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "d", "h", "copies", "labels", "text")
     unit = ["kind", "key", "sub", "lo", "hi"]
     ranged = read.repartitionByRange(partitions(read.sparkSession), *unit).sortWithinPartitions(*unit)
-    return materialize(ranged.mapInArrow(_verifier(similarity, words, depth, before), LINKS), f"{folder}/links")
+    links = materialize(ranged.mapInArrow(_verifier(similarity, words, depth, before), LINKS), f"{folder}/links")
+    discard(read.sparkSession, folder, "nodes", "met", "parts", "sized", "whole", "placed", "mode", "chosen", "asked")
+    return links
 
 
 def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, trees: int = TREES, target: float = TARGET) -> DataFrame:
@@ -386,11 +389,13 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int
             break
         depth, before = shorter, depth
 
+    discard(spark, folder, "trie", "texts", "sizes")
     linked = found.groupBy("d", "h").agg(F.sum("linked").alias("linked"))
     joined = materialize(connected_components(found.select(F.struct(F.col("root").alias("d"), F.col("root_h").alias("h")).alias("src"), one.alias("dst")).distinct()), f"{folder}/joined")
     final = classes.select("set_hash", "d", "h", "copies").join(linked, ["d", "h"], "left").join(joined.select("node.d", "node.h", "component"), ["d", "h"], "left")
     final = final.select("set_hash", F.col("copies").alias("k"), F.col("d").alias("rep_id"), F.coalesce("component.d", "d").alias("class_id"), F.coalesce("component.h", "h").alias("class_h"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     final = materialize(final, f"{folder}/final")
+    discard(spark, folder, "classes", "joined")
     ids = sketches.select("d", "h", F.when(F.col("d") > -(1 << 61), F.col("d")).alias("doc_id"), F.when(F.col("n") > 0, F.col("set_hash")).alias("set_hash"))
     out = join_unique(ids, final, "set_hash", "k", F.col("d"))
     own = [F.coalesce(a, b).alias(a) for a, b in (("rep_id", "d"), ("class_id", "d"), ("class_h", "h"))]

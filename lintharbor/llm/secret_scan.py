@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, join_unique, materialize, shielded, work_dir
+from ._common import bounded_batches, discard, join_unique, materialize, shielded, work_dir
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -125,6 +125,7 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, version: str = RULE_VERS
     ledger.append(found.dropDuplicates(["blob"]), version)
     known = ledger.read(version).join(holders.select("blob", "n"), "blob").dropDuplicates(["blob"])
     known = materialize(known, f"{folder}/known")
+    discard(spark, folder, "holders", "unseen")
     return join_unique(paths.select("doc_id", "blob"), known, "blob", "n", F.col("doc_id"))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, materialize, partitions, work_dir
+from ._common import bounded_batches, discard, materialize, partitions, work_dir
 
 BLOCK_ROWS, GROUP_BLOCKS, QUERY_BATCH, PIVOTS = 256, 128, 16_384, 256
 BLOCKS = "dim int, n int, ids binary, matrix binary, hi binary, lo binary"
@@ -258,6 +258,7 @@ def _search(queries: DataFrame, candidates: DataFrame, k: int, block_rows: int,
         shared = spark.sparkContext.broadcast(sets)
         index.mapInArrow(_searcher(shared, k, GROUP_BLOCKS), FOUND).write.mode("append").parquet(f"{folder}/found")
         shared.unpersist()
+    discard(spark, folder, "vectors", "blocks", "queries", "rounds")
     return spark.read.schema(FOUND).parquet(f"{folder}/found")
 
 

@@ -6,7 +6,7 @@ its path to the body the threshold. Every element that reaches the threshold, fr
 largest sum to the text. Runs of text beside block elements count as blocks of their own.
 
 Names only guide this. An element that its tag or role calls navigation, aside, footer, form and the like, or that a class or id
-marks, isn't summed and gives no text, except that a mark in class or id must be borne out by link ratio or low density within
+marks, isn't summed and gives no text, except that a mark in class or id must be borne out by link ratio or low density (or, of readers' comments, by holding a thread) within
 an article or main, and where an id has words besides; that it counts for nothing on an element that holds the page's headline; and that
 marks are ignored where a page has no text without them. As density can't judge a short line, an article of which a subtree was chosen and that reaches the
 threshold itself is taken whole, and so are the headings and paragraphs beside a chosen element. Outside of
@@ -44,6 +44,8 @@ MARKS = re.compile(
     r"related|recommend(?:ed|ations?)?|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widget|skip|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Those of the marks that mean readers' comments; a thread is told by what it holds: further such marks, an article or a form.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|respond|disqus)(?:$|[\s_-])", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that ids of a page's own parts have beside a mark; an id with others may be an anchor made of a heading.
 PARTS = frozenset("site page main global top bottom left right header primary secondary wrapper wrap container content box bar area block section list links inner outer widget panel form".split())
@@ -77,15 +79,15 @@ RUN = "#run"
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "scope", "article", "unseen", "refused", "hint", "chars", "tags", "link_chars", "link_tags", "headings", "titles", "density", "total", "best")
+    __slots__ = ("tag", "parts", "parent", "scope", "article", "unseen", "refused", "hint", "chars", "tags", "link_chars", "link_tags", "headings", "titles", "talks", "talk", "density", "total", "best")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
-        self.unseen, self.refused, self.hint = False, False, None
+        self.unseen, self.refused, self.hint, self.talks = False, False, None, tag in ("article", "form")
         #: The innermost article or main, and the outermost article, that the node lies in or is.
         self.scope = self if tag in SCOPES else parent.scope if parent else None
         self.article = (parent.article if parent else None) or (self if tag == "article" else None)
-        self.chars = self.tags = self.link_chars = self.link_tags = self.headings = self.titles = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.headings = self.titles = self.talk = 0
         self.density = self.total = 0.0
         self.best: Node = self
 
@@ -107,6 +109,7 @@ def _mark(node: Node, attributes: str) -> None:
     if tag in ("html", "body", "main") or tag in INLINE or tag in HEADINGS:
         return
     names = [LAYOUT.sub("", found.get(k, "")) for k in ("class", "id")]
+    node.talks = node.talks or any(COMMENTS.search(n) for n in names)
     if MARKS.search(names[0]):
         node.hint = "class" if above.scope else "part"
     elif MARKS.search(names[1]):
@@ -252,6 +255,7 @@ def _count(root: Node) -> list[tuple[Node, bool]]:
             up.link_tags += node.link_tags + (node.tag == "a")
             up.headings += node.headings + (node.tag in HEADINGS)
             up.titles += node.titles + (node.tag == "h1")
+            up.talk += node.talk + node.talks
     return order
 
 
@@ -259,7 +263,7 @@ def _borne_out(node: Node, body: Node) -> bool:
     """Whether the counts bear out what a hinted node's class or id says."""
     if node.hint == "part":
         return not node.titles
-    if not node.chars or 2 * node.link_chars > node.chars:
+    if not node.chars or 2 * node.link_chars > node.chars or node.talks and node.talk and node.tag != "article":
         return True
     plain, around = node.chars - node.link_chars, node.parent.scope or body
     sparse = plain * max(around.tags, 1) < (around.chars - around.link_chars) * max(node.tags, 1)

@@ -158,6 +158,12 @@ def test_marks_yield_to_what_the_page_holds():
     assert html_text.main_text(f"<body>{PROSE}<br>{PROSE}<div><a href=x>a</a> <a href=y>b</a> <a href=z>c</a></div></body>") == f"{PROSE} {PROSE}"
 
 
+def test_threads_of_comments_go():
+    for thread in (f'<div class="comments"><div class="comment"><p>{PROSE} No.</p></div></div>', f'<section id="comments"><h2>2 comments</h2><article><p>{PROSE} No.</p></article></section>', f'<ol class="commentlist"><li class="comment even">{PROSE} No.</li></ol>'):
+        assert html_text.main_text(f"<body><article><h1>T</h1><p>{PROSE}</p>{thread}</article></body>") == f"T\n\n{PROSE}"
+    assert html_text.main_text(f'<body><article><h1>T</h1><section id="comments"><h2>Comments in code</h2><p>{PROSE}</p></section></article></body>') == f"T\n\nComments in code\n\n{PROSE}"
+
+
 def test_what_surrounds_an_article_goes_at_any_depth():
     for tag in ("nav", "aside", "footer", "form"):
         assert html_text.main_text("<div>" * 3000 + f"<{tag}>no</{tag}><p>{PROSE}</p>") == PROSE

@@ -120,14 +120,38 @@ def cooling(progress: Column, schedule: str) -> Column:
     raise ValueError(f"no cooling schedule {schedule!r}")
 
 
+def _human(n: Column, base: int, units: str, gap: str, tail: str) -> Column:
+    """About three digits and a unit: whole numbers up to 9999, then one decimal below 99.95 of the first unit, two below 9.995 and one below 99.95 of the others, whole units below a thousand."""
+    out = F.when(n < 10_000, F.concat(n.cast("string"), F.lit(gap + tail if tail else "")))
+    for i, unit in enumerate(units):
+        size, x = base ** (i + 1), n / F.lit(float(base ** (i + 1)))
+        steps = [(9.995, F.format_string("%.2f", x))] * (i > 0) + [(99.95, F.format_string("%.1f", x))]
+        steps += [(1000.0, F.floor(n / F.lit(size)).cast("string"))] * (i < len(units) - 1)
+        for below, text in steps:
+            out = out.when(n < F.lit(float(size)) * F.lit(below), F.concat(text, F.lit(gap + unit + tail)))
+    return out.otherwise("infty")
+
+
 def human_count(n: Column) -> Column:
-    """A count in at most about five characters: 9999, 12.3k, 4.56M and so on."""
-    x, out = n.cast("double"), None
-    for unit, size in reversed((("k", 1e3), ("M", 1e6), ("G", 1e9), ("T", 1e12))):
-        text = F.when(x < 10 * size, F.format_string("%.2f", x / size)).when(x < 100 * size, F.format_string("%.1f", x / size)).otherwise(F.format_string("%.0f", x / size))
-        cond = x >= (10_000 if unit == "k" else size)
-        out = (F.when if out is None else out.when)(cond, F.concat(text, F.lit(unit)))
-    return out.otherwise(F.format_string("%.0f", x))
+    """A count in about five characters: 9999, 12.3k, 4.56M and so on."""
+    return _human(n, 1000, "kMGT", "", "")
+
+
+def human_size(n: Column) -> Column:
+    """A number of bytes: 9999 B, 12.3 kB, 4.56 MB and so on."""
+    return _human(n, 1024, "kMGT", " ", "B")
+
+
+def human_number(x: Column) -> Column:
+    """A fraction: two decimals below a hundred, one below a thousand, else a count."""
+    return F.when(x < 99.995, F.format_string("%.2f", x)).when(x < 999.95, F.format_string("%.1f", x)).otherwise(human_count(F.floor(x)))
+
+
+def human_time(now_ms: Column, event_ms: Column) -> Column:
+    """How long ago an event was; ``none seen yet`` for 0."""
+    s = F.floor((now_ms - event_ms) / 1000)
+    parts = [human_count(F.floor(s / 86400)), *(F.floor(s / size % n).cast("string") for size, n in ((3600, 24), (60, 60), (1, 60)))]
+    return F.when(event_ms == 0, "none seen yet").otherwise(F.concat(parts[0], F.lit(" days, "), parts[1], F.lit(" hrs, "), parts[2], F.lit(" min, "), parts[3], F.lit(" sec")))
 
 
 def response_class(orig: Column, xff: Column, x01: Column, s10: Column, a10: Column) -> Column:

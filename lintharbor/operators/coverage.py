@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import HIT_CAP, MAP_SIZE, hit_bucket, num_equal_bits
+from ..functions import CRITICAL_HITS, HIT_CAP, MAP_SIZE, hit_bucket, num_equal_bits
 from ..shipping import ship
 from .graph import dense_index
 
@@ -114,10 +114,10 @@ def greedy_edge_cover(trace: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def greedy_file_cover(trace: DataFrame, seeds: DataFrame) -> DataFrame:
-    """A small corpus that keeps all (edge, class): the rarest first, of equal ones by the text of class and edge, each uncovered one takes its smallest file: (seed_id, pick)."""
+    """A small corpus that keeps all (edge, class): the rarest first, of equal ones by the text of class (1 to 8) and edge, each uncovered one takes its smallest file: (seed_id, pick)."""
     code = lambda: F.col("bucket").cast("long") * (1 << 32) + F.col("edge")
     rare = tuple_frequency(trace).join(best_file_per_tuple(trace, seeds), ["edge", "bucket"])
-    winners = rare.select("seed_id", F.col("n").alias("at"), F.concat(F.col("bucket").cast("string"), F.col("edge").cast("string")).alias("text"), code().alias("own"))
+    winners = rare.select("seed_id", F.col("n").alias("at"), F.concat((F.log2("bucket") + 1).cast("int").cast("string"), F.col("edge").cast("string")).alias("text"), code().alias("own"))
     mine = classified(trace).select(F.col("exec_id").alias("seed_id"), code().alias("t")).join(winners.select("seed_id").distinct(), "seed_id", "left_semi")
     return _cover(winners, mine.groupBy("seed_id").agg(F.collect_set("t").alias("tuples")))
 
@@ -181,6 +181,12 @@ def hit_counts(rows: DataFrame, key: str, rare_below: int) -> DataFrame:
     return rows.groupBy(key).agg(n.alias("hits")).withColumn("rare", F.col("hits") < rare_below)
 
 
+def period_hit_counts(rows: DataFrame, key: str, period: str, most: int = CRITICAL_HITS) -> DataFrame:
+    """Of (key, exec_id, period) the hits of each period that come among a key's first ``most``, over all keys: (period, n); a period without any has no row."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("exec_id"))
+    return rows.withColumn("_nth", nth).filter(F.col("_nth") <= most).groupBy(period).agg(F.count("*").alias("n"))
+
+
 def directed_favourites(winners: DataFrame, block_hits: DataFrame, solved: DataFrame, holders: DataFrame, most_hits: int, outcomes: DataFrame | None = None, rare: DataFrame | None = None) -> DataFrame:
     """(seed_id): the seeds that reach a rare target (rare: seed_id), winners of critical blocks that are neither solved nor hit too often, and the holders (cnd_id, exec_id)
     of the records of conditions that haven't had both outcomes yet (outcomes: cnd_id, outcomes, 3 for both)."""

@@ -24,6 +24,10 @@ def test_scalars(spark):
     assert one(spark, fn.basename(lit("/a/b.c/"))) == "b.c" and one(spark, fn.difficulty_factor(lit(3))) == 1
     assert [one(spark, fn.raw_distance(lit(d))) for d in (0.0, 0.001, 2.0)] == [0, 1, 200]
     assert [one(spark, fn.human_count(lit(n))) for n in (9999, 12345, 4_560_000)] == ["9999", "12.3k", "4.56M"]
+    assert [one(spark, fn.human_count(lit(n))) for n in (99_949, 99_950, 123_999, 9_994_999, 9_995_000, 999_999_999, 10**14)] == ["99.9k", "99k", "123k", "9.99M", "10.0M", "999M", "infty"]
+    assert [one(spark, fn.human_size(lit(n))) for n in (7, 10_240, 200 * 1024, 3 << 20, 5 << 40)] == ["7 B", "10.0 kB", "200 kB", "3.00 MB", "5.00 TB"]
+    assert [one(spark, fn.human_number(lit(x))) for x in (1.234, 123.4, 12345.6)] == ["1.23", "123.4", "12.3k"]
+    assert [one(spark, fn.human_time(lit(n), lit(e))) for n, e in ((90_061_000, 1000), (5, 0))] == ["1 days, 1 hrs, 1 min, 0 sec", "none seen yet"]
     r = spark.sql("select array(1,2,3,4) a, array(1,9,3,8) b").select(fn.first_and_last_difference(F.col("a"), F.col("b")).alias("x")).first().x
     assert (r.first, r.last) == (1, 3)
 
@@ -137,6 +141,12 @@ def test_maps_and_workers(spark):
     assert one(spark, fn.edge_only(F.lit(7))) == 1 and one(spark, fn.simplified(F.lit(0))) == 1 and one(spark, fn.simplified(F.lit(3))) == 128 and one(spark, fn.linear_cycle_interval(F.lit(5), F.lit(2))) == 7
 
 
+def test_period_hits(spark):
+    rows = [("x", i, i // 3) for i in range(9)] + [("y", 20 + i, 1) for i in range(2)]
+    out = coverage.period_hit_counts(spark.createDataFrame(rows, "block string, exec_id long, period int"), "block", "period", 4)
+    assert dict(map(tuple, out.collect())) == {0: 3, 1: 3}
+
+
 def test_directed_favourites(spark):
     winners = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 40)], "block int, seed_id long")
     hits, solved = spark.createDataFrame([(2, 500), (3, 3)], "block int, hits long"), spark.createDataFrame([(1,)], "block int")
@@ -211,7 +221,7 @@ def test_covers_cover_everything(spark):
     has = {x: {(bucket(n), e) for y, e, n in rows if y == x} for x in range(40)}
     every = set().union(*has.values())
     covered, kept = set(), []
-    for t in sorted(every, key=lambda t: (sum(t in has[x] for x in has), f"{t[0]}{t[1]}")):
+    for t in sorted(every, key=lambda t: (sum(t in has[x] for x in has), f"{t[0].bit_length()}{t[1]}")):
         if t not in covered:
             best = min((x for x in has if t in has[x]), key=lambda x: (x % 7 + 1, x))
             kept += [best] if best not in kept else []

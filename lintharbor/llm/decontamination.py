@@ -76,10 +76,11 @@ def by_rarity(windows: DataFrame, index: DataFrame, folder: str) -> DataFrame:
     return materialize(ordered.filter(F.size("order") == F.col("need")), f"{folder}/windows")
 
 
-def rarest_postings(index: DataFrame, first: DataFrame, windows: int) -> DataFrame:
+def rarest_postings(index: DataFrame, first: DataFrame, windows: int, path: str) -> DataFrame:
     """A row for each posting of ``first`` (term, ...), a row per window with its rarest term: its columns but the term, k and pos."""
     if windows <= BROADCAST_WINDOWS:
         return index.join(F.broadcast(first), "term").drop("term")
+    index = _only(index, materialize(first.select("term").distinct(), path), "term")
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
     return index.withColumn("_salt", F.pmod(F.xxhash64("k"), F.lit(SALT)).cast("int")).join(first.select("*", salt), ["term", "_salt"]).drop("term", "_salt")
 
@@ -96,7 +97,7 @@ def _phrases(index: DataFrame, ordered: DataFrame, folder: str) -> DataFrame:
     """Exact matches of windows: k, item_id, first, last (word positions)."""
     windows, o = ordered.count(), F.col("order")
     first = ordered.select("w", "need", o[0]["term"].alias("term"), o[0]["at"].alias("at"), F.get(o, F.lit(1))["term"].alias("term2"), F.get(o, F.lit(1))["at"].alias("at2"))
-    begun = rarest_postings(index, first, windows).select("w", "need", "term2", "at2", "k", (F.col("pos") - F.col("at")).alias("s")).filter("s >= 0")
+    begun = rarest_postings(index, first, windows, f"{folder}/rarest").select("w", "need", "term2", "at2", "k", (F.col("pos") - F.col("at")).alias("s")).filter("s >= 0")
     second = _only(index, _terms(ordered, 2, 1, f"{folder}/second"), "term")
     asked = begun.filter("need > 1").select("w", "need", "k", "s", F.col("term2").alias("term"), (F.col("s") + F.col("at2")).alias("pos"))
     left = materialize(asked.join(second, ["k", "pos", "term"]).select("k", "w", "need", "s").distinct(), f"{folder}/second_left")
@@ -123,7 +124,7 @@ def _near(index: DataFrame, ordered: DataFrame, slop: int, folder: str) -> DataF
     windows, terms = ordered.count(), F.array_distinct(F.transform("order", lambda o: o["term"]))
     listed = ordered.select("w", "item_id", "need", terms.alias("terms"))
     first = listed.select("w", "need", F.size("terms").alias("n"), F.col("terms")[0].alias("term"), F.get("terms", F.lit(1)).alias("term2"))
-    begun = rarest_postings(index, first, windows)
+    begun = rarest_postings(index, first, windows, f"{folder}/near_rarest")
     seconds = materialize(listed.select(F.get("terms", F.lit(1)).alias("term")).filter("term is not null").distinct(), f"{folder}/near_second")
     asked = begun.filter("n > 1").withColumnRenamed("term2", "term")
     left = materialize(beside(asked, _only(index, seconds, "term")).select("k", "w", "need", "n", "pos").distinct(), f"{folder}/near_left")

@@ -59,9 +59,8 @@ def pass_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BLOCKS_SQL} SELECT file, 'f' || CAST(func_ord AS VARCHAR) AS name, s AS start, e AS "end", loc, p_type <> 'PROMO' AS reachable, func_ord * 100 + (bs - s) // 8 AS block_id, bs AS block_start, be AS block_end, bloc AS block_loc
-FROM (SELECT b.*, s, e, p_type FROM blocks b JOIN functions USING (func_ord) JOIN part ON p_partkey = func_ord) t"""
-    .replace("SELECT b.*, s, e, p_type FROM blocks b JOIN functions USING (func_ord)", "SELECT b.*, f.s, f.e, p_type FROM blocks b JOIN functions f USING (func_ord)")
+    f"""WITH {BLOCKS_SQL} SELECT b.file, 'f' || CAST(b.func_ord AS VARCHAR) AS name, f.s AS start, f.e AS "end", b.loc, p_type <> 'PROMO' AS reachable, b.func_ord * 100 + (bs - f.s) // 8 AS block_id, bs AS block_start, be AS block_end, bloc AS block_loc
+FROM blocks b JOIN functions f USING (func_ord) JOIN part ON p_partkey = b.func_ord"""
 )
 def inspection_json(spark: SparkSession, d: str) -> DataFrame:
     folder = shared_folder(spark, "inspection")
@@ -136,8 +135,8 @@ def block_distance_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {SERIES_SQL}, b AS (SELECT *, lag(paths) OVER w AS p, lag(crashes) OVER w AS c FROM series WINDOW w AS (PARTITION BY campaign ORDER BY ts, event_id))
-SELECT event_id AS unix_time, campaign AS cycles_done, CAST(0 AS BIGINT) AS cur_path, paths AS paths_total, paths // 2 AS pending_total, paths // 3 AS pending_favs, paths % 100 + 0.25 AS map_size, crashes AS unique_crashes, CAST(0 AS BIGINT) AS unique_hangs, CAST(1 AS BIGINT) AS max_depth, execs % 7 + 0.5 AS execs_per_sec
-FROM b WHERE p IS NULL OR p <> paths OR c <> crashes""".replace("0.25", "CAST(0.25 AS DOUBLE)").replace("0.5 ", "CAST(0.5 AS DOUBLE) ")
+SELECT event_id AS unix_time, campaign AS cycles_done, CAST(0 AS BIGINT) AS cur_path, paths AS paths_total, paths // 2 AS pending_total, paths // 3 AS pending_favs, paths % 100 + CAST(0.25 AS DOUBLE) AS map_size, crashes AS unique_crashes, CAST(0 AS BIGINT) AS unique_hangs, CAST(1 AS BIGINT) AS max_depth, execs % 7 + CAST(0.5 AS DOUBLE) AS execs_per_sec
+FROM b WHERE p IS NULL OR p <> paths OR c <> crashes"""
 )
 def plot_file(spark: SparkSession, d: str) -> DataFrame:
     folder, zero = shared_folder(spark, "plot"), F.lit(0).cast("long")

@@ -39,6 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 TREES, DEEPEST, TARGET = 24, 8, 0.99999
 #: A component of more rows than the first, or more shingles than the third, is verified in pairs of blocks of the second's size.
 WHOLE_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 800, 400, 1_000_000
+#: Edges (of 32 bytes) up to which components are found by one task.
+SMALL_GRAPH = 100_000
 #: Of the histogram of similarities.
 BUCKETS = 1000
 #: Words whose hashes a Python worker remembers.
@@ -329,7 +331,7 @@ def _match(trie: DataFrame, sizes: DataFrame, texts: DataFrame, depth: int, befo
     if nodes.isEmpty():
         return None
     met = materialize(join_unique(spread.drop("child"), nodes, "node", "k", F.col("d")).filter("m is not null"), f"{folder}/met")
-    parts = materialize(connected_components(met.select(F.col("m").alias("src"), one.alias("dst")).distinct()), f"{folder}/parts")
+    parts = materialize(connected_components(met.select(F.col("m").alias("src"), one.alias("dst")).distinct(), in_one_task=SMALL_GRAPH), f"{folder}/parts")
 
     sized = materialize(sizes.join(parts.select("node.d", "node.h", "component"), ["d", "h"]), f"{folder}/sized")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
@@ -391,7 +393,7 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     discard(spark, folder, "trie", "texts", "sizes")
     linked = found.groupBy("d", "h").agg(F.sum("linked").alias("linked"))
-    joined = materialize(connected_components(found.select(F.struct(F.col("root").alias("d"), F.col("root_h").alias("h")).alias("src"), one.alias("dst")).distinct()), f"{folder}/joined")
+    joined = materialize(connected_components(found.select(F.struct(F.col("root").alias("d"), F.col("root_h").alias("h")).alias("src"), one.alias("dst")).distinct(), in_one_task=SMALL_GRAPH), f"{folder}/joined")
     final = classes.select("set_hash", "d", "h", "copies").join(linked, ["d", "h"], "left").join(joined.select("node.d", "node.h", "component"), ["d", "h"], "left")
     final = final.select("set_hash", F.col("copies").alias("k"), F.col("d").alias("rep_id"), F.coalesce("component.d", "d").alias("class_id"), F.coalesce("component.h", "h").alias("class_h"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     final = materialize(final, f"{folder}/final")

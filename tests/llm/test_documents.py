@@ -35,7 +35,8 @@ def rows_of(df):
 # components
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("in_one_task", [0, 10_000])
+def test_components_against_union_find(spark, in_one_task):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000, x) for x in range(1001, 1200)] + [(x, x + 1) for x in range(2000, 2100)] + [(5, 5), (None, 3)]
     parent = {}
@@ -50,7 +51,13 @@ def test_components_against_union_find(spark):
         if a is not None and a != b:
             parent[max(root(a), root(b))] = min(root(a), root(b))
     expected = {(x, root(x)) for x in parent}
-    assert set(map(tuple, components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect())) == expected
+    assert set(map(tuple, components.connected_components(spark.createDataFrame(edges, "src long, dst long"), in_one_task=in_one_task).collect())) == expected
+    pairs = [((a % 7, -a), (b % 7, -b)) for a, b in edges if a is not None]
+    nested = components.connected_components(spark.createDataFrame(pairs, "src struct<d:long,h:long>, dst struct<d:long,h:long>"), in_one_task=in_one_task).collect()
+    groups = defaultdict(set)
+    for x, r in expected:
+        groups[r].add((x % 7, -x))
+    assert {(tuple(x.node), tuple(x.component)) for x in nested} == {(x, min(g)) for g in groups.values() for x in g}
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 

@@ -50,7 +50,7 @@ def discard(spark: SparkSession, path: str, *names: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+def bounded_batches(spark: SparkSession, size: int = 1 << 20) -> None:
     """Before Python runs on executors: ship the package to them, and hold Arrow batches to about ``size`` bytes (or one row), so that long texts don't fill a worker.
 
     The setting stays, because the operators' results are evaluated later; a smaller one of the caller's is left alone. The number of rows isn't touched."""

@@ -129,6 +129,14 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, version: str = RULE_VERS
     return join_unique(paths.select("doc_id", "blob"), known, "blob", "n", F.col("doc_id"))
 
 
+def _without(text: str, spans: str, mark: str) -> str:
+    out, at = [], 0
+    for a, b in merged([(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans.split(","))]):
+        out += [text[at:a], mark]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, ledger: Ledger | None = None, version: str = RULE_VERSION, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every secret of its texts replaced by ``mark``, and n_chars, where there is one, counted anew for these."""
     spark = docs.sparkSession
@@ -139,21 +147,19 @@ def redact(docs: DataFrame, ledger: Ledger | None = None, version: str = RULE_VE
     text = inner["text"]
     rows = join_unique(rows.withColumn("_blob", _blob(text)), hits.toDF("_blob", "_spans", "n"), "_blob", "n", F.xxhash64(inner["doc_id"], text))
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        def one(text, said):
-            if said is None:
-                return text
-            out, at = [], 0
-            for a, b in merged([(k, int(a), int(b)) for k, a, b in (s.split(":") for s in said.split(","))]):
-                out += [text[at:a], mark]
-                at = b
-            return "".join([*out, text[at:]])
-
-        return texts.combine(spans, one)
-
-    clean = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(cut(text, "_spans"))
-    out = rows.withColumn(text, clean)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("_spans").to_pylist()
+            if any(spans):
+                texts = [_without(t, x, mark) if x else t for t, x in zip(batch.column(text).to_pylist(), spans, strict=True)]
+                at = batch.schema.get_field_index(text)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch
+
+    schema = rows.schema
+    for field in schema:
+        field.nullable = True
+    out = rows.mapInArrow(cut, schema)
     if "n_chars" in inner:
         out = out.withColumn(inner["n_chars"], F.when(F.col("_spans").isNull(), F.col(inner["n_chars"])).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -13,6 +13,8 @@ from ..functions import decode_trace, operand_constant, operand_flags
 from ..operators.crashes import parse_reports
 
 MOST_INPUT_BYTES = 1 << 20
+#: Up to so many files a row for each is broadcast.
+MOST_BROADCAST_FILES = 10_000
 
 
 def _fields(lines: DataFrame) -> DataFrame:
@@ -116,11 +118,14 @@ def read_reports(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_summary(spark: SparkSession, *paths: str) -> DataFrame:
-    """Crash summaries: one row per crash. The options of a file are those of its first row."""
+    """Crash summaries: one row per crash. The options of a file are those of its first row. Files are read by line, so that they can be of any size."""
     names = schema.SUMMARY_COLUMNS
-    files = spark.read.text(list(paths), wholetext=True)
-    data = F.filter(F.transform(F.split("value", "\r?\n"), lambda x: F.split(x, ",")), lambda x: (F.size(x) == len(names)) & (x[0] != "bug_id"))
-    rows = files.select(data.alias("rows")).select(F.get("rows", F.lit(0)).alias("o"), F.explode("rows").alias("f"))
+    lines = spark.read.option("lineSep", "\n").text(list(paths))
+    few = len(lines.inputFiles()) <= MOST_BROADCAST_FILES
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # the order within a file: splits, and lines within a split
+    data = lines.select(F.col("_metadata.file_path").alias("path"), place.alias("at"), F.split(F.regexp_replace("value", "\r$", ""), ",").alias("f")).filter((F.size("f") == len(names)) & (F.col("f")[0] != "bug_id"))
+    first = data.groupBy("path").agg(F.min_by(F.slice("f", 1, 4), "at").alias("o"))
+    rows = data.select("path", "f").join(F.broadcast(first) if few else first, "path")
     f, o = F.col("f"), F.col("o")
     frames = F.when(o[1] != "-", o[1]).try_cast("int")
     flag = lambda i: F.lower(F.trim(o[i])) == "true"

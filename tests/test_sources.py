@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lintharbor import schema
 from lintharbor.sources import readers, writers
 from lintharbor.streaming import new_peer_seeds
 
@@ -97,3 +98,25 @@ def test_reports_folder(spark, tmp_path):
 def test_peers_of_an_empty_round(spark):
     rows, marks = new_peer_seeds(spark.createDataFrame([], "peer string, id long"), spark.createDataFrame([("r", 4)], "peer string, next_id long"))
     assert rows.count() == 0 and {tuple(r) for r in marks.collect()} == {("r", 4)}
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_summaries_are_read_by_line(spark, tmp_path, monkeypatch, most):
+    """Files of many splits, some with header, carriage returns, other lines first or no last line break; the options of each file stay its own."""
+    monkeypatch.setattr(readers, "MOST_BROADCAST_FILES", most)
+    head = ",".join(schema.SUMMARY_COLUMNS)
+    rows = lambda k, n: [f"{i},{k if i == 0 else '-'},{k % 2 == 0 if i == 0 else k % 2 == 1},True,in{k}-{i},asan,segv,{'#0:f.c:f:1=#1:g.c:g:2' if i % 2 else ''},{i % 2 * 2}" for i in range(n)]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/a").write_bytes("\r\n".join([head, "not,a,row", *rows(4, 3000)]).encode() + b"\r\n")
+    (tmp_path / "s/b").write_text("\n".join([*["x" * 100] * 200, *rows(5, 900), head]))
+    (tmp_path / "s/c").write_text(head + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.read_summary(spark, str(tmp_path / "s"))
+        out = sorted((r.input_file, r.bug_id, r.n_dedup_frames, r.consider_filepaths, r.consider_lines, len(r.stack_trace)) for r in got.collect())
+        assert got.rdd.getNumPartitions() > 1
+        assert max(r.n for r in readers.read_summary(spark, str(tmp_path / "s/a")).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert out == sorted((f"in{k}-{i}", i, k, k % 2 == 0, True, i % 2 * 2) for k, n in ((4, 3000), (5, 900)) for i in range(n))

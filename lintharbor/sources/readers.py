@@ -79,12 +79,22 @@ def sarif_findings(documents: DataFrame, strict: bool = False) -> DataFrame:
     """Runs, results and locations, unnested; the rule's name is looked up within its run, the last of equal ids counting."""
     runs = documents.filter(F.col("version") == "2.1.0").select(F.explode("runs").alias("r"))
     rules = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.col("r.tool.driver.rules"), lambda x: x["id"])), lambda i: F.struct(i, F.element_at(F.filter(F.col("r.tool.driver.rules"), lambda x: x["id"] == i), -1)["name"])))
-    rows = runs.select(F.lower("r.tool.driver.name").alias("tool"), rules.alias("rules"), F.explode("r.results").alias("x")).select("tool", "rules", F.col("x.ruleId").alias("rule"), F.explode("x.locations.physicalLocation").alias("p"))
-    name = F.try_element_at("rules", F.col("rule"))
-    if strict:
-        name = F.coalesce(name, F.raise_error(F.concat(F.lit("unknown rule "), F.coalesce("rule", F.lit("null")))))
-    file = F.element_at(F.split(F.regexp_replace(F.col("p.artifactLocation.uri"), "/+$", ""), "/"), -1)
-    return rows.select("tool", file.alias("file"), F.col("p.region.startLine").cast("int").alias("line"), name.alias("vuln")).filter("vuln is not null").dropDuplicates()
+
+    def name(known: Column, rule: Column) -> Column:
+        out = F.try_element_at(known, rule)
+        return F.coalesce(out, F.raise_error(F.concat(F.lit("unknown rule "), F.coalesce(rule, F.lit("null"))))) if strict else out
+
+    def of(x: Column, vuln: Column) -> Column:
+        return F.transform(F.coalesce(x["locations"]["physicalLocation"], F.array()), lambda p: F.struct(p["artifactLocation"]["uri"].alias("uri"), p["region"]["startLine"].alias("line"), vuln.alias("vuln")))
+
+    # An array of one is for what is in it to be found once: the rules of a run, and the name of a result, even one without locations.
+    def places(known: Column) -> Column:
+        return F.flatten(F.flatten(F.transform(F.col("r.results"), lambda x: F.transform(F.array(name(known, x["ruleId"])), lambda vuln: of(x, vuln)))))
+
+    # Unnesting copies the columns beside it to each row, and holds the rows of an array together: these are narrow.
+    rows = runs.select(F.lower("r.tool.driver.name").alias("tool"), F.flatten(F.transform(F.array(rules), places)).alias("places")).select("tool", F.explode("places").alias("p"))
+    file = F.element_at(F.split(F.regexp_replace(F.col("p.uri"), "/+$", ""), "/"), -1)
+    return rows.select("tool", file.alias("file"), F.col("p.line").cast("int").alias("line"), F.col("p.vuln").alias("vuln")).filter("vuln is not null").dropDuplicates()
 
 
 def read_json_findings(spark: SparkSession, tool: str, *paths: str) -> DataFrame:
